@@ -11,10 +11,10 @@ each other in all chunks with probability 0.224**10, about 3e-7.
 Links are found in two passes, so that a bucket of n alike sets never makes
 n**2 pairs.  First every set is compared with the least set of each of its
 buckets.  Then only buckets that still hold several components are searched for
-pairs between components, in blocks of bounded size.  Both passes leave out
-signatures further apart than ``far`` symbols: at a similarity of 0.85 the
-expected distance is 9 of 60, and 28 lies almost seven standard deviations
-beyond.  Every link is confirmed on the full shingle sets (as sets of 64-bit
+pairs between components, in blocks of bounded size; a block gives a spanning
+forest of its links, so no more links than it has members.  Both passes leave
+out signatures further apart than ``far`` symbols: at a similarity of 0.85 the
+expected distance is 9 of 60, and more than 26 has probability 3e-8.  Every link is confirmed on the full shingle sets (as sets of 64-bit
 hashes) of the whole texts.
 
 Sets are known by a 64-bit id of their content; among n distinct sets two share
@@ -88,27 +88,33 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, symbols: int) -> Iterator[p
             )
 
 
+def _places(width: int, errors: int) -> list[tuple[int, ...]]:
+    return list(combinations(range(width), width - errors))
+
+
+def _key(sig: np.ndarray, c: int, m: int, keep: list[tuple[int, ...]]) -> np.ndarray:
+    """Keys of signatures (rows x chunks x width) from the m-th choice of places in chunk c."""
+    key = np.full(len(sig), c * len(keep) + m + 1, dtype=np.uint64)
+    for p in keep[m]:
+        key = key * tk.U64(0x9E3779B97F4A7C15) + sig[:, c, p].astype(np.uint64) + tk.U64(1)
+        key ^= key >> tk.U64(29)
+    return tk.mix(key)
+
+
 def _keys(
     batches: Iterator[pa.RecordBatch], chunks: int, width: int, errors: int
 ) -> Iterator[pa.RecordBatch]:
-    keep = [c for c in combinations(range(width), width - errors)]
+    keep = _places(width, errors)
     for batch in batches:
         if not batch.num_rows:
             continue
         nodes = batch.column("node").to_numpy()
         sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint16)
-        sig = sig.reshape(len(nodes), chunks, width).astype(np.uint64)
+        sig = sig.reshape(len(nodes), chunks, width)
         for c in range(chunks):
-            out = np.empty((len(keep), len(nodes)), dtype=np.uint64)
-            for m, places in enumerate(keep):
-                key = np.full(len(nodes), c * len(keep) + m + 1, dtype=np.uint64)
-                for p in places:
-                    key = key * tk.U64(0x9E3779B97F4A7C15) + sig[:, c, p] + tk.U64(1)
-                    key ^= key >> tk.U64(29)
-                out[m] = tk.mix(key)
+            out = np.concatenate([_key(sig, c, m, keep) for m in range(len(keep))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out.reshape(-1).view(np.int64)), pa.array(np.tile(nodes, len(keep)))],
-                ["key", "node"],
+                [pa.array(out.view(np.int64)), pa.array(np.tile(nodes, len(keep)))], ["key", "node"]
             )
 
 
@@ -132,29 +138,66 @@ def _screen(
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
-def _cross_pairs(
-    batches: Iterator[pa.RecordBatch], symbols: int, far: int, percent: int
+def _joined_key(sig: np.ndarray, key: int, chunks: int, width: int, errors: int) -> tuple[int, int]:
+    """Which chunk and which choice of places made ``key`` from a signature."""
+    keep = _places(width, errors)
+    for c in range(chunks):
+        for m in range(len(keep)):
+            if int(_key(sig[None], c, m, keep).view(np.int64)[0]) == key:
+                return c, m
+    raise ValueError("the key is not one of the signature's")
+
+
+def _cross_links(
+    batches: Iterator[pa.RecordBatch], k: int, percent: int, chunks: int, width: int, errors: int, far: int
 ) -> Iterator[pa.RecordBatch]:
-    """Pairs between components of one (key, i, j) block; rows come sorted by it, and a block's rows are bounded."""
+    """Links between components in one (key, i, j) block: a spanning forest, confirmed on full sets.
+
+    Rows come sorted by block and a block's rows are bounded.  A pair is examined
+    only under the first key that both signatures share, and only while its two
+    components have not met in the block.
+    """
+    keep = _places(width, errors)
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        node, root = rows["node"].to_numpy(), rows["root"].to_numpy().copy()
         n, side = rows["n_shingles"].to_numpy(), rows["side"].to_numpy()
         sig = np.frombuffer(b"".join(rows["signature"].to_pylist()), dtype=np.uint16)
-        sig = sig.reshape(-1, symbols)
-        left, right = [], []
+        sig = sig.reshape(-1, chunks, width)
+        c, m = _joined_key(sig[0], rows["key"][0].as_py(), chunks, width, errors)
+        diagonal = rows["i"][0].as_py() == rows["j"][0].as_py()
+        sets: dict[int, np.ndarray] = {}
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                for _, _, data, offsets in tk.slices(rows["text"].slice(i, 1).combine_chunks()):
+                    hashes, at = tk.shingle_sets(data, offsets, k)
+                    sets[i] = next(_distinct(hashes, at))
+            return sets[i]
+
+        a, b = [], []
         for x in np.flatnonzero(side == 0):
-            y = np.flatnonzero(
-                (root != root[x])
-                & ((side == 1) | (node > node[x]) & (side == side.max()))
-                & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-            )
-            y = y[(sig[y] != sig[x]).sum(axis=1) <= far]
-            left += [node[x]] * len(y)
-            right += list(node[y])
-        a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+            able = (node > node[x]) if diagonal else (side == 1)
+            able &= (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            y = np.flatnonzero(able)
+            if not len(y):
+                continue
+            same = sig[y] == sig[x]
+            wrong = width - same.sum(axis=2)
+            fresh = (wrong.sum(axis=1) <= far) & (wrong[:, :c] > errors).all(axis=1)
+            for earlier in keep[:m]:
+                fresh &= ~same[:, c, list(earlier)].all(axis=1)
+            for i in y[fresh]:
+                if root[i] == root[x]:
+                    continue
+                one, two = full(x), full(i)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * both >= percent * (len(one) + len(two) - both):
+                    a.append(max(node[x], node[i]))
+                    b.append(min(node[x], node[i]))
+                    root[root == root[i]] = root[x]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"]
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]
         )
 
     rest: pa.Table | None = None
@@ -167,10 +210,10 @@ def _cross_pairs(
         cut = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
         bounds = [0, *cut.tolist()]
         for first, last in zip(bounds, bounds[1:], strict=False):
-            yield pairs(rows.slice(first, last - first))
-        rest = rows.slice(bounds[-1]).combine_chunks()
+            yield links(rows.slice(first, last - first))
+        rest = rows.slice(bounds[-1])
     if rest is not None and rest.num_rows:
-        yield pairs(rest)
+        yield links(rest)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -217,8 +260,9 @@ def near_duplicates(
     chunks: int = 10,
     width: int = 6,
     errors: int = 1,
-    far: int = 28,
-    block_rows: int = 512,
+    far: int = 26,
+    block_rows: int = 2048,
+    block_shingles: int = 2_000_000,
 ) -> DataFrame:
     """Groups of near-duplicate texts: (doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
@@ -231,8 +275,9 @@ def near_duplicates(
     component_id is the least non-null one of their group, or null, and they
     are kept only in a group without any doc_id.  Repeated rows each get their
     row.  Columns besides doc_id and text are not read, whatever their names.
-    An empty table gives an empty result.  At most ``2 * block_rows`` members of
-    a bucket meet in one step, however large the bucket is.
+    An empty table gives an empty result.  However large a bucket is, about
+    ``2 * block_rows`` of its members, or ``2 * block_shingles`` shingles, meet in
+    one step.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     symbols = chunks * width
@@ -286,50 +331,59 @@ def near_duplicates(
         "star",
     )
 
-    def confirmed(found: DataFrame, name: str) -> DataFrame:
-        wanted = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-        # A null anchor (no doc_id in the class) is carried as the least long.
-        anchor = F.coalesce(F.col("anchor"), F.lit(-(2**63)))
-        anchors = nodes.join(wanted, "node").select("node", anchor.alias("anchor"))
-        texts = scratch.save(
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(node, text) for the wanted nodes; a null anchor (no doc_id in the class) is carried as the least long."""
+        none = F.lit(-(2**63))
+        anchors = nodes.join(wanted, "node").select("node", F.coalesce("anchor", none).alias("anchor"))
+        return scratch.save(
             docs.select(
-                F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("anchor"),
+                F.coalesce(F.col("doc_id").cast("bigint"), none).alias("anchor"),
                 F.col("text").cast("string").alias("text"),
             )
             .join(anchors, "anchor")
             .select("node", "text"),
-            f"{name}-texts",
-        )
-        out = scratch.save(
-            found.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b")
-            .mapInArrow(lambda it: _confirm(it, shingle_words, percent), "a bigint, b bigint"),
             name,
         )
-        scratch.drop(f"{name}-texts")
-        return out
 
-    links = confirmed(star, "star-links")
+    texts = texts_of(star.select(F.col("a").alias("node")).union(star.select("b")).distinct(), "star-texts")
+    links = scratch.save(
+        star.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        .select("a", "b", "text_a", "text_b")
+        .mapInArrow(lambda it: _confirm(it, shingle_words, percent), "a bigint, b bigint"),
+        "star-links",
+    )
+    scratch.drop("star-texts", "star")
     roots = scratch.save(components(links, scratch, "first"), "roots")
     # Members of crowded buckets that are not yet in one component with all the others.
-    member = crowded.join(roots, "node", "left").select(
-        "key", "n", "node", F.coalesce("root", "node").alias("root")
+    member = (
+        crowded.join(roots, "node", "left")
+        .join(brief, "node")
+        .select("key", "n", "node", F.coalesce("root", "node").alias("root"), "n_shingles", "signature")
     )
     mixed = (
         member.groupBy("key")
-        .agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+        .agg(
+            F.min("root").alias("r0"),
+            F.max("root").alias("r1"),
+            F.count("*").alias("members"),
+            F.sum("n_shingles").alias("shingles"),
+        )
         .filter("r0 <> r1")
-        .select("key")
+        .select(
+            "key",
+            F.greatest(
+                F.ceil(F.col("members") / block_rows), F.ceil(F.col("shingles") / block_shingles)
+            ).cast("int").alias("blocks"),
+        )
     )
-    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    member = scratch.save(member.join(mixed, "key"), "members")
+    texts = texts_of(member.select("node").distinct(), "cross-texts")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = (
-        member.join(mixed, "key")
-        .join(brief, "node")
-        .withColumn("blocks", blocks)
-        .withColumn("own", own)
+        member.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .join(texts, "node")
         .select(
             "key",
             F.least("own", "other").alias("i"),
@@ -339,20 +393,21 @@ def near_duplicates(
             "root",
             "n_shingles",
             "signature",
+            "text",
         )
     )
-    cross = scratch.save(
+    more = scratch.save(
         spread.repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-        .mapInArrow(lambda it: _cross_pairs(it, symbols, far, percent), "a bigint, b bigint")
-        .distinct()
-        .join(star, ["a", "b"], "left_anti"),
-        "cross",
+        .sortWithinPartitions("key", "i", "j", "node")
+        .mapInArrow(
+            lambda it: _cross_links(it, shingle_words, percent, chunks, width, errors, far),
+            "a bigint, b bigint",
+        ),
+        "cross-links",
     )
-    scratch.drop("crowded", "buckets", "roots")
-    more = confirmed(cross, "cross-links")
+    scratch.drop("crowded", "buckets", "roots", "members", "cross-texts")
     roots = scratch.save(components(links.union(more), scratch, "last"), "groups")
-    scratch.drop("star", "cross", "star-links", "cross-links")
+    scratch.drop("star-links", "cross-links")
     placed = signed.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node"))
     least = (

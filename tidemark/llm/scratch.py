@@ -14,6 +14,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+}
+
 _made: dict[str, SparkSession] = {}
 
 
@@ -40,9 +45,20 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet under ``name`` and return the reread table."""
-        schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write ``df`` as Parquet under ``name`` and return the reread table.
+
+        Batches that pass to Python are kept small meanwhile: some MB of long texts
+        are as fast as many, and an executor holds several at a time.
+        """
+        schema, conf = df.schema, self.spark.conf
+        before = {k: conf.get(k, None) for k in SMALL_BATCHES}
+        try:
+            for k, v in SMALL_BATCHES.items():
+                conf.set(k, v)
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
