@@ -408,14 +408,15 @@ def near_duplicates(
     scratch.drop("crowded", "buckets", "roots", "members", "cross-texts")
     roots = scratch.save(components(links.union(more), scratch, "last"), "groups")
     scratch.drop("star-links", "cross-links")
-    placed = signed.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "node"))
-    least = (
-        placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    )
-    own_id = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    # Component ids are found among distinct sets first, so that copies add nothing; each step's
+    # table is written, so that the joins with hot keys can be split.
+    classes = nodes.select("node", "anchor").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = scratch.save(classes.groupBy("root").agg(F.min("anchor").alias("component_id")), "least")
+    placed = scratch.save(classes.join(least, "root").select("node", "component_id"), "placed")
+    own_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (
-        placed.join(least, "root", "left")
+        signed.select("doc_id", "n_shingles", "node")
+        .join(placed, "node", "left")
         .select("doc_id", "n_shingles", own_id.alias("component_id"))
         .withColumn("kept", F.expr("doc_id <=> component_id"))
     )
