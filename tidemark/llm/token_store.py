@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,15 +34,23 @@ from pyspark.sql import functions as F
 from tidemark.llm import textkit as tk
 
 MAGIC = b"TIDETOK1"
-_CACHE_WORDS = 500_000
+#: Remembered words: those of few bytes come again, the others serve one slice of texts.
+_CACHE_WORDS, _CACHE_BYTES = 1_000_000, 12
+_SLICE_BYTES = 4 << 20
+#: A letter, then other ASCII signs up to white space; ``'`` and ``<`` may join what is around them.
+_SIGNS = re.compile(rb"(?<=[a-z])([^a-z0-9\s\x80-\xff'<]+)(?=\s|$)")
+#: Case is left alone beside what case folding could touch: combining marks after a letter, special tokens.
+_DELICATE = (b"\xcc", b"\xcd", b"<|")
 _encoders: dict[tuple, _Encoder] = {}
 
 
 class _Encoder:
     """Texts as bytes to id arrays as bytes.
 
-    With ``by_word``, ids of words between ASCII white space are remembered; that
-    is right for tokenizers that drop white space and never join across it.
+    With ``by_word``, ids of words are remembered.  That is right for tokenizers
+    that fold case, drop white space, never join across it, and keep letters apart
+    from other signs: then words may be folded, and signs behind a word cut off,
+    before they are looked up.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -56,18 +65,27 @@ class _Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        if any(mark in text for mark in _DELICATE):
+            return text.split()
+        return _SIGNS.sub(rb" \1", text.lower()).split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self.plain([t.decode("utf-8", "replace") for t in texts])
-        split = [t.split() for t in texts]
+        split = [self.words(t) for t in texts]
         if len(self.known) > _CACHE_WORDS:
             self.known.clear()
         missing = list(set().union(*split).difference(self.known))
-        if missing:
-            ids = self.plain([w.decode("utf-8", "replace") for w in missing])
-            self.known.update(zip(missing, ids, strict=True))
+        ids = self.plain([w.decode("utf-8", "replace") for w in missing])
+        self.known.update(zip(missing, ids, strict=True))
         find = self.known.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+        out = [b"".join(map(find, words)) for words in split]
+        for w in missing:
+            if len(w) > _CACHE_BYTES:
+                del self.known[w]
+        return out
 
 
 def _encoder(path: str, by_word: bool) -> _Encoder:
@@ -78,7 +96,7 @@ def _encoder(path: str, by_word: bool) -> _Encoder:
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    for first, _, data, offsets in tk.slices(column):
+    for first, _, data, offsets in tk.slices(column, _SLICE_BYTES):
         whole = data.tobytes()
         yield first, [whole[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
 

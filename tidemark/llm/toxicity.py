@@ -61,41 +61,85 @@ def _totals(weights: np.ndarray, row: np.ndarray, feature: np.ndarray, n: int) -
     return np.bincount(row, weights=weights[feature], minlength=n)
 
 
+def _minimise(loss, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """L-BFGS with step halving; ``loss`` gives value and gradient."""
+    value, grad = loss(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, kept = grad.copy(), []
+        for s, y in reversed(moves):
+            a = (s @ d) / (s @ y)
+            d -= a * y
+            kept.append(a)
+        if moves:
+            s, y = moves[-1]
+            d *= (s @ y) / (y @ y)
+        else:
+            d /= max(np.abs(grad).sum(), 1.0)
+        for (s, y), a in zip(moves, reversed(kept), strict=True):
+            d += s * (a - (y @ d) / (s @ y))
+        size = 1.0
+        while True:
+            new, new_grad = loss(x - size * d)
+            if new <= value - 1e-4 * size * (grad @ d) or size < 1e-6:
+                break
+            size /= 2
+        s, y = -size * d, new_grad - grad
+        gain, x, value, grad = value - new, x + s, new, new_grad
+        if s @ y > 1e-10:
+            moves = [*moves, (s, y)][-memory:]
+        if gain < 1e-6 * (1 + abs(value)):
+            break
+    return x
+
+
 def fit_ordinal(
     row: np.ndarray,
     feature: np.ndarray,
     grade: np.ndarray,
     *,
-    l2: float = 2.0,
-    steps: int = 120,
-    rate: float = 0.15,
+    l2: float = 1.0,
+    least_rows: int = 5,
+    steps: int = 100,
 ) -> OrdinalModel:
-    """Penalised maximum likelihood by Adam over all rows; deterministic."""
-    n, top = len(grade), int(max(grade.max(initial=0), 1))
-    size = 1 << BITS
-    w, t = np.zeros(size), np.linspace(1.0, 1.0 + 2.0 * (top - 1), top)
-    moments = [np.zeros(size), np.zeros(size), np.zeros(top), np.zeros(top)]
+    """Penalised maximum likelihood; deterministic.  Features of fewer than ``least_rows`` rows get no weight.
+
+    Thresholds are the first one and the logarithms of their gaps, so they stay in order.
+    """
+    n, top, size = len(grade), int(max(grade.max(initial=0), 1)), 1 << BITS
+    used = np.flatnonzero(np.bincount(feature, minlength=size) >= least_rows)
+    compact = np.full(size, -1)
+    compact[used] = np.arange(len(used))
+    keep = compact[feature] >= 0
+    row, feature = row[keep], compact[feature[keep]]
     each = np.arange(n)
-    for i in range(1, steps + 1):
-        z = _totals(w, row, feature, n)[:, None] - t[None, :]
-        p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+
+    def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w, t = x[: len(used)], x[len(used) :]
+        gaps = np.exp(np.clip(t[1:], -10, 10))
+        return w, np.concatenate([t[:1], t[0] + np.cumsum(gaps)]), gaps
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, t, gaps = split(x)
+        z = np.clip(_totals(w, row, feature, n)[:, None] - t[None, :], -40, 40)
+        p = 1.0 / (1.0 + np.exp(-z))
         # P(grade = k) = P(>= k) - P(>= k + 1), with P(>= 0) = 1 and P(>= top + 1) = 0.
         padded = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], axis=1)
-        likely = np.maximum(padded[each, grade] - padded[each, grade + 1], 1e-9)
+        likely = np.maximum(padded[each, grade] - padded[each, grade + 1], 1e-12)
         slope = padded * (1.0 - padded)
         dz = np.zeros((n, top + 2))
-        dz[each, grade] = slope[each, grade] / likely
-        dz[each, grade + 1] -= slope[each, grade + 1] / likely
+        dz[each, grade] = -slope[each, grade] / likely
+        dz[each, grade + 1] += slope[each, grade + 1] / likely
         dz = dz[:, 1:-1]
-        gw = np.bincount(feature, weights=dz.sum(axis=1)[row], minlength=size) - l2 * w
+        gw = np.bincount(feature, weights=dz.sum(axis=1)[row], minlength=len(used)) + l2 * w
         gt = -dz.sum(axis=0)
-        for x, g, m, v in ((w, gw, 0, 1), (t, gt, 2, 3)):
-            moments[m] = 0.9 * moments[m] + 0.1 * g
-            moments[v] = 0.99 * moments[v] + 0.01 * g * g
-            scale = rate * (0.3 if i > steps * 0.7 else 1.0) * (0.2 if m == 0 else 1.0)
-            x += scale * (moments[m] / (1 - 0.9**i)) / (np.sqrt(moments[v] / (1 - 0.99**i)) + 1e-6)
-        t = np.maximum.accumulate(t + np.arange(top) * 1e-6)
-    return OrdinalModel(w.astype(np.float32), t)
+        after = np.cumsum(gt[::-1])[::-1]
+        return float(-np.log(likely).sum() + 0.5 * l2 * w @ w), np.concatenate([gw, after[:1], after[1:] * gaps])
+
+    w, t, _ = split(_minimise(loss, np.concatenate([np.zeros(len(used) + 1), np.zeros(top - 1)]), steps))
+    weights = np.zeros(size, dtype=np.float32)
+    weights[used] = w
+    return OrdinalModel(weights, t)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +195,9 @@ def train_severity(
     sort = np.lexsort((feature, place[row]))
     row, feature, toxic = place[row][sort], feature[sort], toxic[first]
     n_words = rows["n_words"].to_numpy()[first]
-    binary = fit_ordinal(row, feature, toxic, steps=60)
-    marked = np.bincount(row, weights=binary.weights[feature] > 0.5 * binary.weights.max(), minlength=len(toxic))
+    binary = fit_ordinal(row, feature, toxic)
+    heavy = binary.weights[feature] > 0.25 * binary.weights.max()
+    marked = np.bincount(row, weights=heavy, minlength=len(toxic))
     density = marked / np.maximum(n_words, 1)
     middle = np.median(density[toxic == 1])
     grade = np.where(toxic == 0, 0, np.where(density <= middle, 1, 2))
