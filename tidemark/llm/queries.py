@@ -56,7 +56,7 @@ def op2_url_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_digest(docs: DataFrame) -> DataFrame:
     """Writes a token store of ``docs`` to the shared folder and reads its digest back from the files."""
     root = Scratch(docs.sparkSession, "tokens").root
-    write_tokens(docs, root, tokenizer=tokenizer_path(), end_id=END_ID, by_word=True)
+    write_tokens(docs, root, tokenizer=tokenizer_path(), end_id=END_ID)
     return read_tokens(docs.sparkSession, root, with_ids=False)
 
 

@@ -19,10 +19,12 @@ task attempt and renamed when complete, so lost and repeated tasks do no harm.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,35 +37,74 @@ from tidemark.llm import textkit as tk
 
 MAGIC = b"TIDETOK1"
 #: Remembered words: those of few bytes come again, the others serve one slice of texts.
-_CACHE_WORDS, _CACHE_BYTES = 1_000_000, 12
+_CACHE_WORDS, _CACHE_BYTES = 1_000_000, 14
 _SLICE_BYTES = 4 << 20
 #: A letter, then other ASCII signs up to white space; ``'`` and ``<`` may join what is around them.
 _SIGNS = re.compile(rb"(?<=[a-z])([^a-z0-9\s\x80-\xff'<]+)(?=\s|$)")
+#: Folded words of letters below U+0250, which NFC leaves alone.
+_LATIN = re.compile(rb"(?:[a-z]|[\xc3-\xc9][\x80-\xbf])+")
 #: Case is left alone beside what case folding could touch: combining marks after a letter, special tokens.
 _DELICATE = (b"\xcc", b"\xcd", b"<|")
-_encoders: dict[tuple, _Encoder] = {}
+_encoders: dict[str, _Encoder] = {}
+
+
+def _keeps_words_apart(file: dict) -> bool:
+    """Whether a tokenizer folds case, drops white space, keeps letters apart from other signs, and is a byte BPE."""
+    normal = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])]
+    steps = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return False
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    level = steps[1]
+    return (
+        steps[0]["pattern"] == {"Regex": pattern}
+        and steps[0]["invert"]
+        and steps[0]["behavior"] == "Removed"
+        and not level["add_prefix_space"]
+        and not level["use_regex"]
+        and file["model"]["type"] == "BPE"
+    )
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters that byte-level models use for bytes: printable Latin-1 as is, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
 
 class _Encoder:
     """Texts as bytes to id arrays as bytes.
 
-    With ``by_word``, ids of words are remembered.  That is right for tokenizers
-    that fold case, drop white space, never join across it, and keep letters apart
-    from other signs: then words may be folded, and signs behind a word cut off,
-    before they are looked up.
+    For tokenizers that keep words apart, ids of words are remembered: words are
+    folded, and signs behind a word cut off, before they are looked up; new words
+    of Latin letters go straight to the tokenizer's model.  Others get whole texts.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = by_word
+        self.by_word = _keeps_words_apart(json.loads(self.tokenizer.to_str()))
+        self.model = self.tokenizer.model
+        self.bytes = _byte_characters()
         self.known: dict[bytes, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def learn(self, words: list[bytes]) -> None:
+        rest = []
+        for w in words:
+            if _LATIN.fullmatch(w) and (low := w.decode().lower()).isalpha():
+                piece = low.encode().decode("latin-1").translate(self.bytes)
+                self.known[w] = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+            else:
+                rest.append(w)
+        ids = self.plain([w.decode("utf-8", "replace") for w in rest])
+        self.known.update(zip(rest, ids, strict=True))
 
     @staticmethod
     def words(text: bytes) -> list[bytes]:
@@ -78,8 +119,7 @@ class _Encoder:
         if len(self.known) > _CACHE_WORDS:
             self.known.clear()
         missing = list(set().union(*split).difference(self.known))
-        ids = self.plain([w.decode("utf-8", "replace") for w in missing])
-        self.known.update(zip(missing, ids, strict=True))
+        self.learn(missing)
         find = self.known.__getitem__
         out = [b"".join(map(find, words)) for words in split]
         for w in missing:
@@ -88,11 +128,11 @@ class _Encoder:
         return out
 
 
-def _encoder(path: str, by_word: bool) -> _Encoder:
+def _encoder(path: str) -> _Encoder:
     """One encoder for each worker process, so that what it knows serves all its tasks."""
-    if (path, by_word) not in _encoders:
-        _encoders[path, by_word] = _Encoder(path, by_word)
-    return _encoders[path, by_word]
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -142,7 +182,7 @@ def _dictionary(data: bytes):
 
 
 def _write_shard(
-    batches: Iterator[pa.RecordBatch], root: str, tokenizer: str, by_word: bool, end_id: int, level: int
+    batches: Iterator[pa.RecordBatch], root: str, tokenizer: str, end_id: int, level: int
 ) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -165,7 +205,7 @@ def _write_shard(
         valid.append(np.asarray(column.is_valid()).astype(np.uint8))
         ids.append(column.fill_null(0).to_numpy())
         for _, texts in _texts(batch.column(1)):
-            for found in _encoder(tokenizer, by_word).encode(texts):
+            for found in _encoder(tokenizer).encode(texts):
                 frame = packer.compress(found + end)
                 sink.write(frame)
                 lengths.append(len(frame))
@@ -193,11 +233,11 @@ def _write_shard(
 
 
 def _sample(
-    batches: Iterator[pa.RecordBatch], tokenizer: str, by_word: bool, most: int
+    batches: Iterator[pa.RecordBatch], tokenizer: str, most: int
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in _texts(batch.column(0)):
-            found = [x[: 4 * most] for x in _encoder(tokenizer, by_word).encode(texts)]
+            found = [x[: 4 * most] for x in _encoder(tokenizer).encode(texts)]
             yield pa.RecordBatch.from_pydict({"ids": pa.array(found, pa.binary())})
 
 
@@ -207,7 +247,6 @@ def write_tokens(
     *,
     tokenizer: str,
     end_id: int,
-    by_word: bool = False,
     rows_per_shard: int = 8192,
     dictionary_bytes: int = 32768,
     sample_docs: int = 1000,
@@ -230,7 +269,7 @@ def write_tokens(
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     sample = docs.orderBy(F.xxhash64("text"), "doc_id").limit(sample_docs).select("text").repartition(4)
-    encoded = sample.mapInArrow(lambda it: _sample(it, tokenizer, by_word, sample_ids), "ids binary")
+    encoded = sample.mapInArrow(lambda it: _sample(it, tokenizer, sample_ids), "ids binary")
     samples = sorted(bytes(r["ids"]) for r in encoded.collect())
     _write(f"{root}/dictionary.zdict", _train([s for s in samples if s], dictionary_bytes))
     shards = max(1, -(-docs.count() // rows_per_shard))
@@ -238,7 +277,7 @@ def write_tokens(
         docs.repartitionByRange(shards, "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(
-            lambda it: _write_shard(it, root, tokenizer, by_word, end_id, level),
+            lambda it: _write_shard(it, root, tokenizer, end_id, level),
             "shard int, n_docs bigint, n_tokens bigint, n_bytes bigint",
         )
     )
