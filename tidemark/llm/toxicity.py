@@ -6,9 +6,9 @@ thresholds t1 < t2 < ..., P(grade <= k) = sigmoid(t_k - w.x); the expected
 severity is the sum of P(grade >= k).
 
 Labels know toxic or not.  A first fit of toxic against clean orders the toxic
-training texts by the share of their words that carry weight; the lower half is
-grade 1, the upper half grade 2.  The ordinal model is then fitted on grades 0
-to 2.  Training takes a bounded number of labelled rows; every text is scored
+training texts by their score; the lower half is grade 1, the upper half grade
+2.  The ordinal model is then fitted on grades 0 to 2, from those weights on.
+Training takes a bounded number of labelled rows; every text is scored
 whole.
 """
 
@@ -30,8 +30,8 @@ _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:256] = True
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs as two arrays sorted by row, and the rows' word counts."""
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, feature) pairs as two arrays sorted by row."""
     starts, ends, at = tk.spans(_INSIDE[data], offsets)
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(at))
     found = []
@@ -41,7 +41,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     both = np.sort(np.concatenate(found))
     if len(both):
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-    return both >> BITS, both & ((1 << BITS) - 1), np.diff(at)
+    return both >> BITS, both & ((1 << BITS) - 1)
 
 
 @dataclass(frozen=True)
@@ -98,9 +98,10 @@ def fit_ordinal(
     feature: np.ndarray,
     grade: np.ndarray,
     *,
-    l2: float = 1.0,
+    l2: float = 0.3,
     least_rows: int = 5,
-    steps: int = 100,
+    steps: int = 60,
+    start: np.ndarray | None = None,
 ) -> OrdinalModel:
     """Penalised maximum likelihood; deterministic.  Features of fewer than ``least_rows`` rows get no weight.
 
@@ -136,7 +137,10 @@ def fit_ordinal(
         after = np.cumsum(gt[::-1])[::-1]
         return float(-np.log(likely).sum() + 0.5 * l2 * w @ w), np.concatenate([gw, after[:1], after[1:] * gaps])
 
-    w, t, _ = split(_minimise(loss, np.concatenate([np.zeros(len(used) + 1), np.zeros(top - 1)]), steps))
+    begin = np.zeros(len(used) + top)
+    if start is not None:
+        begin[: len(used)] = start[used]
+    w, t, _ = split(_minimise(loss, begin, steps))
     weights = np.zeros(size, dtype=np.float32)
     weights[used] = w
     return OrdinalModel(weights, t)
@@ -145,14 +149,13 @@ def fit_ordinal(
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in tk.slices(batch.column(1)):
-            row, feature, n_words = _features(data, offsets)
+            row, feature = _features(data, offsets)
             at = np.searchsorted(row, np.arange(last - first + 1))
             lists = pa.ListArray.from_arrays(
                 pa.array(at.astype(np.int32)), pa.array(feature.astype(np.int32))
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), lists, pa.array(n_words.astype(np.int64))],
-                ["toxic", "features", "n_words"],
+                [batch.column(0).slice(first, last - first), lists], ["toxic", "features"]
             )
 
 
@@ -178,7 +181,7 @@ def train_severity(
     rows = (
         texts.join(chosen, F.col("_doc") == F.col("_id"))
         .select(F.col("_toxic").alias("toxic"), "text")
-        .mapInArrow(_extract, "toxic int, features array<int>, n_words bigint")
+        .mapInArrow(_extract, "toxic int, features array<int>")
         .toArrow()
     )
     toxic = rows["toxic"].to_numpy().astype(np.int64)
@@ -194,20 +197,17 @@ def train_severity(
     place[first] = np.arange(len(toxic))
     sort = np.lexsort((feature, place[row]))
     row, feature, toxic = place[row][sort], feature[sort], toxic[first]
-    n_words = rows["n_words"].to_numpy()[first]
     binary = fit_ordinal(row, feature, toxic)
-    heavy = binary.weights[feature] > 0.25 * binary.weights.max()
-    marked = np.bincount(row, weights=heavy, minlength=len(toxic))
-    density = marked / np.maximum(n_words, 1)
-    middle = np.median(density[toxic == 1])
-    grade = np.where(toxic == 0, 0, np.where(density <= middle, 1, 2))
-    return fit_ordinal(row, feature, grade)
+    score = _totals(binary.weights, row, feature, len(toxic))
+    middle = np.median(score[toxic == 1])
+    grade = np.where(toxic == 0, 0, np.where(score <= middle, 1, 2))
+    return fit_ordinal(row, feature, grade, start=binary.weights)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel, reject: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in tk.slices(batch.column(1)):
-            row, feature, _ = _features(data, offsets)
+            row, feature = _features(data, offsets)
             p = model.at_least(_totals(model.weights, row, feature, last - first))
             mass = -np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1))
             yield pa.RecordBatch.from_arrays(
@@ -215,19 +215,23 @@ def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[p
                     batch.column(0).slice(first, last - first),
                     pa.array(p.sum(axis=1)),
                     pa.array(mass.argmax(axis=1).astype(np.int32)),
-                    pa.array(p[:, 0] < 0.5),
+                    pa.array(p[:, 0] < reject),
                 ],
                 ["doc_id", "severity", "grade", "kept"],
             )
 
 
+#: Chance of a grade of 1 or more from which a text is toxic.
+REJECT = 0.4
+
+
 def score_severity(
-    docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 4000
+    docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 4000, reject: float = REJECT
 ) -> DataFrame:
     """(doc_id, severity, grade, kept), a row for each row of ``docs``.
 
     ``severity`` is the expected grade, 0 to 2; ``grade`` the likeliest one;
-    ``kept`` is false when a grade of 1 or more has a chance of one half or more.
+    ``kept`` is false when a grade of 1 or more has a chance of ``reject`` or more.
     Null and empty texts have no features and are scored by the thresholds alone,
     which clean texts set.  Without labels of both classes nothing is known of
     toxicity: severity 0, grade 0, kept.  Repeated rows each get their row; null
@@ -240,11 +244,13 @@ def score_severity(
     # The model's size is fixed: 2**18 weights.
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda it: _score(it, shared.value), "doc_id bigint, severity double, grade int, kept boolean"
+        lambda it: _score(it, shared.value, reject), "doc_id bigint, severity double, grade int, kept boolean"
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 4000) -> DataFrame:
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 4000, reject: float = REJECT
+) -> DataFrame:
     """The rows of ``docs`` that the model keeps, with all their columns."""
     model = train_severity(docs, labels, rows_per_class=rows_per_class)
     if model is None:
@@ -256,9 +262,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 4000
             at = batch.schema.get_field_index("text")
             ok = np.ones(batch.num_rows, dtype=bool)
             for first, last, data, offsets in tk.slices(batch.column(at)):
-                row, feature, _ = _features(data, offsets)
+                row, feature = _features(data, offsets)
                 score = _totals(shared.value.weights, row, feature, last - first)
-                ok[first:last] = shared.value.at_least(score)[:, 0] < 0.5
+                ok[first:last] = shared.value.at_least(score)[:, 0] < reject
             yield batch.filter(pa.array(ok))
 
     return docs.mapInArrow(keep, docs.schema)
