@@ -8,20 +8,25 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ByMonth = Callable[[Column, WindowSpec], Column]
-SERIES = Window.partitionBy("code").orderBy("month_end")
 
 
-def log_diff(x: Column, w: WindowSpec = SERIES) -> Column:
+def series() -> WindowSpec:
+    """Rows of a series in order of time."""
+    return Window.partitionBy("code").orderBy("month_end")
+
+
+def log_diff(x: Column, w: WindowSpec | None = None) -> Column:
     """ln(x / previous); NULL where either is missing or the ratio is not positive."""
-    return F.ln(F.try_divide(x, F.lag(x).over(w)))
+    return F.ln(F.try_divide(x, F.lag(x).over(w or series())))
 
 
-def diff(x: Column, w: WindowSpec = SERIES) -> Column:
-    return x - F.lag(x).over(w)
+def diff(x: Column, w: WindowSpec | None = None) -> Column:
+    return x - F.lag(x).over(w or series())
 
 
-def pct_change(x: Column, w: WindowSpec = SERIES) -> Column:
+def pct_change(x: Column, w: WindowSpec | None = None) -> Column:
     """Change relative to the last value known, gaps padded: a gap itself counts as no change."""
+    w = w or series()
     padded = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     before = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return F.try_divide(padded - before, before)
@@ -39,7 +44,7 @@ def apply_transform(panel: DataFrame, name: str = "transform") -> DataFrame:
     """``x`` = the transform that the row's column ``name`` asks for; an unknown name is an error."""
     x = F.raise_error(F.concat(F.lit("unknown transform "), F.col(name))).cast("double")
     for key, f in TRANSFORMS.items():
-        x = F.when(F.col(name) == key, f(F.col("value"), SERIES)).otherwise(x)
+        x = F.when(F.col(name) == key, f(F.col("value"), series())).otherwise(x)
     return panel.withColumn("x", x)
 
 
@@ -56,7 +61,7 @@ def expanding_zscore(x: str = "x", min_periods: int = 24) -> Column:
 
     The value at a month never changes when later months are appended.
     """
-    w = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    w = series().rowsBetween(Window.unboundedPreceding, 0)
     sd = F.stddev_samp(x).over(w)
     scale = F.when(sd.isNull() | (sd == 0), 1.0).otherwise(sd)
     return F.when(F.count(x).over(w) >= min_periods, (F.col(x) - F.avg(x).over(w)) / scale)
@@ -122,7 +127,7 @@ def prob_clip(p: Column, margin: float = 1e-3) -> Column:
 
 
 def lag_features(panel: DataFrame, x: str, lags: int) -> DataFrame:
-    return panel.withColumns({f"{x}_lag{k}": F.lag(x, k).over(SERIES) for k in range(1, lags + 1)}).withColumn("intercept", F.lit(1.0))
+    return panel.withColumns({f"{x}_lag{k}": F.lag(x, k).over(series()) for k in range(1, lags + 1)}).withColumn("intercept", F.lit(1.0))
 
 
 def numeric_or_null(x: Column) -> Column:

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("code").orderBy("month_end")
 
 
-def rolling_mean(x: str, rows: int, min_periods: int, w: WindowSpec = SERIES) -> Column:
-    frame = w.rowsBetween(1 - rows, 0)
+def series() -> WindowSpec:
+    """Rows of a series in order of time."""
+    return Window.partitionBy("code").orderBy("month_end")
+
+
+def rolling_mean(x: str, rows: int, min_periods: int, w: WindowSpec | None = None) -> Column:
+    frame = (w or series()).rowsBetween(1 - rows, 0)
     return F.when(F.count(x).over(frame) >= min_periods, F.avg(x).over(frame))
 
 
 def sahm_indicator(panel: DataFrame, x: str = "value") -> DataFrame:
     """``sahm`` = 3-month mean (2 known at least) minus its least over 12 rows, the current one included (6 at least)."""
     smooth = panel.withColumn("ma3", rolling_mean(x, 3, 2))
-    year = SERIES.rowsBetween(-11, 0)
+    year = series().rowsBetween(-11, 0)
     low = F.when(F.count("ma3").over(year) >= 6, F.min("ma3").over(year))
     return smooth.withColumn("sahm", F.col("ma3") - low)
 
@@ -25,8 +29,8 @@ def lead_label(y: str, h: int, w: WindowSpec) -> Column:
     return F.lead(y, h).over(w)
 
 
-def delta(x: str, h: int, w: WindowSpec = SERIES) -> Column:
-    return F.col(x) - F.lag(x, h).over(w)
+def delta(x: str, h: int, w: WindowSpec | None = None) -> Column:
+    return F.col(x) - F.lag(x, h).over(w or series())
 
 
 def label_runs(rows: DataFrame, y: str, order: str, by: list[str] | None = None) -> DataFrame:

@@ -56,10 +56,17 @@ def release_dates(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("q", F.when(quarter != "", quarter.try_cast("int"))).withColumn("dates", dates)
     return rows.filter("q IS NOT NULL AND year IS NOT NULL AND size(dates) > 0").select(
         F.make_date("year", (F.col("q") - 1) * 3 + 1, F.lit(1)).alias("survey_quarter"),
-        F.to_date(F.element_at("dates", -1), "M/d/yy").alias("release_date"),
+        _short_date(F.element_at("dates", -1)).alias("release_date"),
     )
 
 
+def _short_date(text: Column) -> Column:
+    """m/d/yy with years 69 to 99 in the 1900s and the others in the 2000s."""
+    part = F.split(text, "/")
+    year = part[2].cast("int")
+    return F.make_date(F.when(year >= 69, year + 1900).otherwise(year + 2000), part[0].cast("int"), part[1].cast("int"))
+
+
 def fetch(codes: Iterable[str], get: Callable[[str], list[tuple]], gap_seconds: float = 0.25) -> list[tuple]:
     """Rows of all codes from a remote client, at most one call each ``gap_seconds``; failures are logged and skipped."""
     out: list[tuple] = []
