@@ -138,3 +138,29 @@ def test_stream_equals_batch(spark, tmp_path):
     run = counted.writeStream.format("memory").queryName("weeks").option("checkpointLocation", f"{tmp_path}/ck2").outputMode("update").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert spark.table("weeks").agg(F.sum("n")).first()[0] == 4
+
+
+def test_clients_may_fail(tmp_path):
+    from tidemark.functions.narrative import narrative
+
+    def get(code):
+        if code == "bad":
+            raise TimeoutError("gone")
+        return [(day("2000-01-01"), 1.0)]
+
+    assert src.fetch(["a", "bad", "b"], get, 0.0) == [("a", day("2000-01-01"), 1.0), ("b", day("2000-01-01"), 1.0)]
+
+    def read(url):
+        if "x" in url:
+            raise OSError("no")
+        return b"1"
+
+    assert src.download({"f": "http://a", "g": "http://x"}, str(tmp_path), read) == ["f"]
+    assert narrative("p", "recession", 0.25) == "Regime recession with probability 25.0%. No narrative model is configured."
+    assert narrative("p", "recession", 0.25, lambda prompt: prompt * 2) == "pp"
+
+
+def test_label_order():
+    assert models.check_label_order(["recession", "slow", "expansion"])
+    with pytest.raises(ValueError):
+        models.check_label_order(["expansion", "recession"])

@@ -118,6 +118,85 @@ def factor_loadings(panels: DataFrame, value: str = "z", k: int = 2, max_iter: i
     return panels.select("as_of", "code", "month_end", value).groupBy("as_of").applyInPandas(run, schema)
 
 
+def pca(panels: DataFrame, value: str = "z", k: int = 2) -> DataFrame:
+    """(as_of, code, component, loading): the first principal components of the mean-filled panel."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = _wide(pdf, value)
+        z = (w - w.mean()) / w.std(ddof=0).replace(0, 1.0)
+        _, load = statespace.pca_init(z.to_numpy(float), k)
+        load = load * statespace.signs(load)
+        rows = [(pdf["as_of"].iloc[0], c, j + 1, float(load[i, j])) for i, c in enumerate(w.columns) for j in range(load.shape[1])]
+        return pd.DataFrame(rows, columns=["as_of", "code", "component", "loading"])
+
+    schema = "as_of date, code string, component int, loading double"
+    return panels.select("as_of", "code", "month_end", value).groupBy("as_of").applyInPandas(run, schema)
+
+
+def state_identity(panels: DataFrame, value: str = "z", k: int = 2, max_iter: int = 30) -> DataFrame:
+    """(as_of, i, j, value): the cross-product of the state's loadings, the identity after identification."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        model, _, _ = statespace.fit_factors(_wide(pdf, value).to_numpy(float), k, (), max_iter)
+        G = model.C[:, : model.k].T @ model.C[:, : model.k]
+        rows = [(pdf["as_of"].iloc[0], i, j, float(G[i, j])) for i in range(model.k) for j in range(model.k)]
+        return pd.DataFrame(rows, columns=["as_of", "i", "j", "value"])
+
+    schema = "as_of date, i int, j int, value double"
+    return panels.select("as_of", "code", "month_end", value).groupBy("as_of").applyInPandas(run, schema)
+
+
+def project_factors(panels: DataFrame, train_share: float = 0.7, value: str = "z", k: int = 2, max_iter: int = 30) -> DataFrame:
+    """(as_of, month_end, factor, score): factors of all months under parameters fitted on the first ones."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = _wide(pdf, value)
+        model, _, _ = statespace.fit_factors(w.iloc[: int(len(w) * train_share)].to_numpy(float), k, (), max_iter)
+        score = model.transform(w.to_numpy(float))
+        out = [pd.DataFrame({"as_of": pdf["as_of"].iloc[0], "month_end": w.index, "factor": f"factor_{j + 1}", "score": score[:, j]}) for j in range(model.k)]
+        return pd.concat(out)
+
+    schema = "as_of date, month_end date, factor string, score double"
+    return panels.select("as_of", "code", "month_end", value).groupBy("as_of").applyInPandas(run, schema)
+
+
+def panel_regimes(panels: DataFrame, value: str = "z", k: int = 2, multivariate: bool = True) -> DataFrame:
+    """(as_of, month_end, regime_rank, p_filtered, p_smoothed) of a whole panel.
+
+    ``multivariate`` models the columns jointly, scaled only where their standard
+    deviation is further than 0.3 from 1; otherwise the first principal component is
+    used, oriented to the panel's mean.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = _wide(pdf, value).ffill().dropna()
+        x = w.to_numpy(float)
+        if multivariate and x.shape[1] > 1:
+            sd = x.std(axis=0)
+            x = x / np.where((np.abs(sd - 1) > 0.3) & (sd > 0), sd, 1.0)
+        elif x.shape[1] > 1:
+            score, _ = statespace.pca_init(x - x.mean(axis=0), 1)
+            side = np.corrcoef(score[:, 0], x.mean(axis=1))[0, 1]
+            x = score * (-1.0 if side < 0 else 1.0)
+        f, s = regimes.fit_regimes(x, k).filter(x)
+        out = [
+            pd.DataFrame({"as_of": pdf["as_of"].iloc[0], "month_end": w.index, "regime_rank": j + 1, "p_filtered": f[:, j], "p_smoothed": s[:, j]})
+            for j in range(k)
+        ]
+        return pd.concat(out)
+
+    schema = "as_of date, month_end date, regime_rank int, p_filtered double, p_smoothed double"
+    return panels.select("as_of", "code", "month_end", value).groupBy("as_of").applyInPandas(run, schema)
+
+
+def check_label_order(labels: list[str]) -> list[str]:
+    """Regimes are ranked by ascending mean, so ``recession`` comes first; the reverse order is an error."""
+    low = [x.lower() for x in labels]
+    if len(set(low)) != len(low) or "expansion" in low[:1] or "recession" in low[1:]:
+        raise ValueError(f"labels must run from the lowest regime to the highest, not {labels}")
+    return labels
+
+
 def fit_regimes(rows: DataFrame, by: str, value: str, k: int = 2, restarts: int = 3) -> DataFrame:
     """(by, month_end, regime_rank, p_filtered, p_smoothed): regimes in ascending order of their mean, from 1."""
 

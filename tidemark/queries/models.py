@@ -101,7 +101,7 @@ def mm_cumulator(spark, sf):
 
 
 @Q()
-def varimax_loadings(spark, sf):
+def varimax(spark, sf):
     return models.factor_loadings(models.one_group(panel(spark, sf)), "z", 2, 30)
 
 
@@ -113,7 +113,7 @@ def factor_naming(spark, sf):
 
 
 @Q()
-def hmm_em(spark, sf):
+def hmm_em_univariate(spark, sf):
     return models.fit_regimes(fx.panel(spark, sf), "code", "z", 2)
 
 
@@ -262,3 +262,124 @@ def sink_model(spark, sf):
     path = fresh_path(spark, "model")
     models.factor_loadings(models.one_group(panel(spark, sf)), "z", 2, 15).write.parquet(path)
     return spark.read.parquet(path)
+
+
+@Q()
+def pca_init(spark, sf):
+    return models.pca(models.one_group(panel(spark, sf)))
+
+
+@Q()
+def identify_state(spark, sf):
+    return models.state_identity(models.one_group(panel(spark, sf)))
+
+
+@Q()
+def divergence_guard(spark, sf):
+    """Fits of a flat panel and of a sound one: the first reports its state instead of failing."""
+    p = models.one_group(panel(spark, sf))
+    flat = p.withColumn("z", F.lit(1.0)).withColumn("as_of", F.date_add("as_of", 1))
+    both = models.fit_factors(p.unionByName(flat), "z", 1, 10)
+    return both.groupBy("as_of").agg(F.first("status").alias("status"))
+
+
+@Q()
+def factor_transform(spark, sf):
+    return models.project_factors(models.one_group(panel(spark, sf)))
+
+
+@Q()
+def hmm_em_multivariate(spark, sf):
+    p = fx.panel(spark, sf).filter("code IN ('1-URGENT', '2-HIGH')")
+    return models.panel_regimes(models.one_group(p.select("code", "month_end", "z")))
+
+
+@Q()
+def rsm_fit_dispatch(spark, sf):
+    p = fx.panel(spark, sf).select("code", "month_end", "z")
+    return models.panel_regimes(models.one_group(p), multivariate=False)
+
+
+@Q()
+def kim_smoother(spark, sf):
+    return hmm_em_univariate(spark, sf).select("code", "month_end", "regime_rank", "p_smoothed")
+
+
+@Q()
+def regime_probs(spark, sf):
+    """Filtered probabilities of the lowest regime, by position."""
+    return hmm_em_univariate(spark, sf).filter("regime_rank = 1").select("code", "month_end", "p_filtered")
+
+
+@Q("SELECT * FROM (VALUES (1, 'recession'), (2, 'expansion')) v(regime_rank, regime)")
+def label_order_guard(spark, sf):
+    names = models.check_label_order(["recession", "expansion"])
+    return spark.createDataFrame(list(enumerate(names, 1)), "regime_rank int, regime string")
+
+
+@Q()
+def probit_predict(spark, sf):
+    return probit_fit(spark, sf).select("month_end", "p")
+
+
+_ENSEMBLE = SCORED + ", wt(signal, weight) AS (VALUES ('probit', 0.5), ('cfnai', 0.3), ('rsm', 0.2)), e AS (SELECT month_end, least(greatest(sum(coalesce(weight, 0) * coalesce(p, 0.5)), 0), 1) AS p FROM signals LEFT JOIN wt USING (signal) GROUP BY month_end), c AS (SELECT count(*) FILTER (y = 1 AND p > 0.5) AS tp, count(*) FILTER (y = 0 AND p > 0.5) AS fp, count(*) FILTER (y = 1 AND NOT p > 0.5) AS fn, count(*) FILTER (y = 0 AND NOT p > 0.5) AS tn FROM e JOIN labels USING (month_end))"
+
+
+@Q(_ENSEMBLE + f" SELECT tp, fp, fn, tn, {s6('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy FROM c")
+def backtest_ensemble(spark, sf):
+    """The weighted ensemble over the full sample against labels."""
+    weights = spark.createDataFrame(fx.WEIGHTS, "signal string, weight double")
+    e = metrics.weighted_blend(fx.signals(spark, sf), weights).withColumn("pred", (F.col("p") > 0.5).cast("int"))
+    c = metrics.confusion(e.join(fx.labels(spark, sf), "month_end").withColumn("g", F.lit(1)), ["g"])
+    return c.select("tp", "fp", "fn", "tn", r6("accuracy").alias("accuracy"))
+
+
+@Q()
+def oos_rename(spark, sf):
+    """A feature panel as probability columns by month."""
+    p = walk_forward(spark, sf)
+    return p.select(F.col("as_of").alias("month_end"), F.col("p_recession").alias("p_ensemble"), "p_probit", "p_rsm")
+
+
+@Q()
+def oos_report(spark, sf):
+    """AUC and Brier score of every out-of-sample signal."""
+    p = oos_rename(spark, sf).unpivot(["month_end"], ["p_ensemble", "p_probit", "p_rsm"], "signal", "p")
+    rows = p.join(fx.labels(spark, sf), "month_end")
+    return metrics.roc_auc(rows, ["signal"]).join(rows.groupBy("signal").agg(metrics.brier().alias("brier")), "signal")
+
+
+_REPORT = ", k AS (SELECT * FROM scored WHERE p IS NOT NULL), a AS (SELECT signal, rank() OVER (PARTITION BY signal ORDER BY p) + (count(*) OVER (PARTITION BY signal, p) - 1) / 2 AS r, y, p FROM k)"
+
+
+@Q(SCORED + _REPORT + f" SELECT signal, {s6('(sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0)')} AS auc, {s6('avg((p - y) ** 2)')} AS brier, count(*) AS months FROM a GROUP BY signal")
+def recession_main(spark, sf):
+    """The report on every signal: AUC, Brier score, months."""
+    rows = fx.scored(spark, sf).filter("p IS NOT NULL")
+    return (
+        metrics.roc_auc(rows, ["signal"])
+        .join(rows.groupBy("signal").agg(metrics.brier().alias("brier"), F.count("*").alias("months")), "signal")
+        .select("signal", r6("auc").alias("auc"), r6("brier").alias("brier"), "months")
+    )
+
+
+_LAGS = "SELECT d AS lag_days, avg((p - y) ** 2) AS b, count(*) AS n FROM (VALUES (45), (90), (120)) v(d) JOIN (SELECT month_end, y FROM labels) l ON TRUE JOIN LATERAL (SELECT max_by(p, month_end) AS p FROM scored s WHERE s.signal = 'probit' AND s.p IS NOT NULL AND s.month_end + d <= l.month_end) x ON TRUE WHERE p IS NOT NULL GROUP BY d"
+
+
+@Q(SCORED + f" SELECT lag_days::INT AS lag_days, {s6('b')} AS brier, n FROM ({_LAGS})")
+def spf_main(spark, sf):
+    """A signal known only 45, 90 or 120 days later, as of every month, against labels."""
+    from tidemark.operators.joins import asof_backward
+
+    lags = spark.createDataFrame([(45,), (90,), (120,)], "lag_days int")
+    months = fx.labels(spark, sf)
+    grid = months.select("month_end").crossJoin(F.broadcast(lags))
+    known = fx.signals(spark, sf).filter("signal = 'probit' AND p IS NOT NULL").crossJoin(F.broadcast(lags))
+    facts = known.select("lag_days", F.expr("date_add(month_end, lag_days)").alias("known"), "p")
+    at = asof_backward(grid, facts, by=["lag_days"], t="month_end", ts="known", value="p").filter("p IS NOT NULL")
+    return at.join(months, "month_end").groupBy("lag_days").agg(r6(metrics.brier()).alias("brier"), F.count("*").alias("n"))
+
+
+@Q(with_(fx.CAT) + "SELECT code, frequency, category, transform, lag_days FROM catalogue")
+def series_info(spark, sf):
+    return fx.catalogue(spark)

@@ -96,3 +96,25 @@ def catalogue_from_yaml(spark: SparkSession, text: str) -> DataFrame:
         for e in yaml.safe_load(text)["series"]
     ]
     return spark.createDataFrame(rows, "code string, name string, frequency string, category string, transform string, lag_days int")
+
+
+def download(urls: dict[str, str], folder: str, get: Callable[[str], bytes] | None = None) -> list[str]:
+    """Fetch files by name into ``folder``; returns the names that came.  ``get`` stands in for the network in tests."""
+    from pathlib import Path
+    from urllib.request import urlopen
+
+    def default(url: str) -> bytes:
+        with urlopen(url, timeout=30) as answer:
+            return answer.read()
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    came = []
+    for name, url in urls.items():
+        try:
+            data = (get or default)(url)
+        except OSError as why:
+            log.warning("no file from %s: %s", url, why)
+            continue
+        (Path(folder) / name).write_bytes(data)
+        came.append(name)
+    return came
