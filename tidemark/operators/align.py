@@ -33,8 +33,24 @@ def month_spine(obs: DataFrame, by: str = "code", date: str = "obs_date") -> Dat
     return ends.select(by, F.explode(months).alias("first")).select(by, F.last_day("first").alias("month_end"))
 
 
+def fill_months(monthly: DataFrame) -> DataFrame:
+    """(code, month_end, value) with the months missing between a series' first and last as NULL.
+
+    Every row brings the empty months up to the next one, so the rows are neither
+    scanned twice nor joined, and stay partitioned and sorted by series.
+    """
+    w = Window.partitionBy("code").orderBy("month_end")
+    first = F.trunc("month_end", "month")
+    stop = F.coalesce(F.add_months(F.trunc(F.lead("month_end").over(w), "month"), -1), first)
+    placed = monthly.withColumn("_first", first).withColumn("_stop", stop)
+    months = F.sequence("_first", "_stop", F.expr("INTERVAL 1 MONTH"))
+    return placed.select("code", F.posexplode(months).alias("_i", "_month"), "value").select(
+        "code", F.last_day("_month").alias("month_end"), F.when(F.col("_i") == 0, F.col("value")).alias("value")
+    )
+
+
 def resample(obs: DataFrame, how: str = "last", tie: str | None = None) -> DataFrame:
-    """(code, month_end, value) with empty months as NULL (``sum``: 0).
+    """(code, month_end, value) with empty months as NULL (``sum``: 0); rows without a date are ignored.
 
     ``last`` takes the last non-null value of the month by (obs_date, tie).
     """
@@ -44,8 +60,8 @@ def resample(obs: DataFrame, how: str = "last", tie: str | None = None) -> DataF
         "mean": F.avg("value"),
         "sum": F.sum("value"),
     }[how]
-    monthly = obs.groupBy("code", F.last_day("obs_date").alias("month_end")).agg(value.alias("value"))
-    filled = month_spine(obs).join(monthly, ["code", "month_end"], "left")
+    dated = obs.filter("obs_date IS NOT NULL")
+    filled = fill_months(dated.groupBy("code", F.last_day("obs_date").alias("month_end")).agg(value.alias("value")))
     return filled.fillna(0.0, ["value"]) if how == "sum" else filled
 
 
@@ -57,8 +73,7 @@ def quarterly_to_monthly(obs: DataFrame, compat: bool = False) -> DataFrame:
     at = F.last_day("obs_date") if compat else quarter_end(F.col("obs_date"))
     placed = obs.select("code", at.alias("obs_date"), "value")
     placed = placed.groupBy("code", "obs_date").agg(F.max("value").alias("value"))
-    spine = month_spine(placed)
-    return spine.join(placed.withColumnRenamed("obs_date", "month_end"), ["code", "month_end"], "left")
+    return fill_months(placed.withColumnRenamed("obs_date", "month_end"))
 
 
 def align_panel(monthly: DataFrame) -> DataFrame:
