@@ -54,7 +54,10 @@ def resample(obs: DataFrame, how: str = "last", tie: str | None = None) -> DataF
 
     ``last`` takes the last non-null value of the month by (obs_date, tie).
     """
-    order = "struct(obs_date, " + (tie or "value") + ")"
+    whole = tie is not None and dict(obs.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint")
+    # As one number the order keeps to hash aggregation; a struct would sort all rows first.
+    day = "CAST(unix_date(obs_date) AS DECIMAL(18,0)) * CAST(100000000000000000000 AS DECIMAL(21,0))"
+    order = f"{day} + CAST({tie} AS DECIMAL(20,0))" if whole else f"struct(obs_date, {tie or 'value'})"
     value = {
         "last": F.expr(f"max_by(value, {order}) FILTER (WHERE value IS NOT NULL)"),
         "mean": F.avg("value"),
