@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sizes import small
+
 
 def blend(probs: DataFrame, weights: DataFrame) -> DataFrame:
     """(month_end, asset, weight) from (month_end, regime, p) and (regime, asset, w).
@@ -15,7 +17,7 @@ def blend(probs: DataFrame, weights: DataFrame) -> DataFrame:
     share = F.col("p") / F.sum("p").over(Window.partitionBy("month_end"))
     mixed = (
         probs.withColumn("share", share)
-        .join(F.broadcast(weights), "regime")
+        .join(small(weights), "regime")
         .groupBy("month_end", "asset")
         .agg(F.sum(F.col("share") * F.col("w")).alias("raw"))
     )

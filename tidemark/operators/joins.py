@@ -3,7 +3,7 @@
 As-of joins are a union of both sides and one window, which sorts by key and
 time and spreads over keys; a lateral subquery would plan as a nested loop.
 Interval joins compare with span tables of a few rows, which are broadcast
-behind a check of their number.
+behind a check of their number (:func:`tidemark.operators.sizes.small`).
 """
 
 from __future__ import annotations
@@ -11,12 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SPANS = 10_000
-
-
-def small(df: DataFrame, most: int = MAX_SPANS) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``most`` rows, else unchanged."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+from tidemark.operators.sizes import small
 
 
 def asof_backward(grid: DataFrame, facts: DataFrame, *, by: list[str], t: str, ts: str, value: str, tie: str | None = None) -> DataFrame:
@@ -25,8 +20,9 @@ def asof_backward(grid: DataFrame, facts: DataFrame, *, by: list[str], t: str, t
     Facts are ordered by ``ts`` - when they became known - and then by ``tie``.  A
     null value hides nothing: the latest known one counts.
     """
-    tie_col = F.col(tie).cast("double") if tie else F.lit(0.0)
-    left = grid.select(*by, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_tie"), F.lit(None).cast("double").alias("_v"))
+    tie_col = F.col(tie) if tie else F.lit(0)
+    kind = dict(facts.dtypes)[tie] if tie else "int"
+    left = grid.select(*by, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_tie"), F.lit(None).cast("double").alias("_v"))
     right = facts.select(*by, F.col(ts).alias("_t"), F.lit(0).alias("_side"), tie_col.alias("_tie"), F.col(value).cast("double").alias("_v"))
     w = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     filled = left.union(right).withColumn(value, F.last("_v", ignorenulls=True).over(w))

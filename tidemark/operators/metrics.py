@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sizes import small
 from tidemark.operators.windows import average_rank
 
 
@@ -93,7 +94,7 @@ def latest_published(rows: DataFrame, by: Sequence[str], value: str = "value", d
 
 def weighted_blend(signals: DataFrame, weights: DataFrame) -> DataFrame:
     """(month_end, p): sum of weight times signal, unknown signals at 0.5, clipped to [0, 1]; a missing weight is 0."""
-    joined = signals.join(F.broadcast(weights), "signal", "left")
+    joined = signals.join(small(weights), "signal", "left")
     total = F.sum(F.coalesce("weight", F.lit(0.0)) * F.coalesce("p", F.lit(0.5)))
     return joined.groupBy("month_end").agg(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)).alias("p"))
 

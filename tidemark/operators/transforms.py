@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.sizes import small
+
 ByMonth = Callable[[Column, WindowSpec], Column]
 
 
@@ -69,7 +71,7 @@ def expanding_zscore(x: str = "x", min_periods: int = 24) -> Column:
 
 def apply_all_transforms(panel: DataFrame, catalogue: DataFrame, expanding: bool = True, min_periods: int = 24) -> DataFrame:
     """Transform every series as the catalogue says and standardise it: adds x and z."""
-    named = panel.join(F.broadcast(catalogue.select("code", "transform")), "code")
+    named = panel.join(small(catalogue.select("code", "transform")), "code")
     z = expanding_zscore("x", min_periods) if expanding else standardize_full("x")
     return apply_transform(named).withColumn("z", z)
 
@@ -96,7 +98,7 @@ def publication_date(date: Column, lag_days: Column) -> Column:
 
 def ragged_edge_mask(panel: DataFrame, catalogue: DataFrame, as_of: Column, columns: list[str]) -> DataFrame:
     """Values not yet published at ``as_of`` become NULL; ``lag_days`` comes from the catalogue."""
-    known = panel.join(F.broadcast(catalogue.select("code", "lag_days")), "code")
+    known = panel.join(small(catalogue.select("code", "lag_days")), "code")
     seen = publication_date(F.col("month_end"), F.col("lag_days")) <= as_of
     return known.withColumns({c: F.when(seen, F.col(c)) for c in columns}).drop("lag_days")
 

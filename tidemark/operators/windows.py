@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.sizes import small
+
 
 
 def series() -> WindowSpec:
@@ -79,7 +81,7 @@ def circular_shift(rows: DataFrame, shifts: DataFrame, y: str, order: str, by: l
     """Each of ``shifts`` (shift) with the rows, ``y`` rotated by that many places within a group."""
     group = Window.partitionBy(*(by or []))
     placed = rows.withColumn("_rn", F.row_number().over(group.orderBy(order)) - 1).withColumn("_n", F.count("*").over(group))
-    turned = placed.crossJoin(F.broadcast(shifts)).withColumn("_at", F.pmod(F.col("_rn") + F.col("shift"), F.col("_n")))
+    turned = placed.crossJoin(small(shifts)).withColumn("_at", F.pmod(F.col("_rn") + F.col("shift"), F.col("_n")))
     source = placed.select(*(by or []), F.col("_rn").alias("_at"), F.col(y).alias(f"{y}_shifted"))
     return turned.join(source, [*(by or []), "_at"]).drop("_rn", "_n", "_at")
 

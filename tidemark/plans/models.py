@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.sizes import small
 from tidemark.kernels import bootstrap, regimes, regression, statespace
 
 
@@ -25,8 +26,8 @@ def one_group(panel: DataFrame) -> DataFrame:
 
 def as_of_panels(panel: DataFrame, dates: DataFrame, catalogue: DataFrame, columns: list[str]) -> DataFrame:
     """For each as-of date the rows up to it, with what was not yet published as NULL."""
-    joined = panel.join(F.broadcast(catalogue.select("code", "lag_days")), "code", "left")
-    rows = joined.crossJoin(F.broadcast(dates.select("as_of"))).filter("month_end <= as_of")
+    joined = panel.join(small(catalogue.select("code", "lag_days")), "code", "left")
+    rows = joined.crossJoin(small(dates.select("as_of"))).filter("month_end <= as_of")
     seen = F.date_add("month_end", F.coalesce("lag_days", F.lit(0))) <= F.col("as_of")
     return rows.withColumns({c: F.when(seen, F.col(c)) for c in columns}).drop("lag_days")
 

@@ -166,10 +166,10 @@ def list_vintages(spark, sf):
     return sinks.list_vintages(spark, path)
 
 
-@Q(with_(fx.MONTHLY) + f"SELECT month_end AS as_of, month_end + 60 AS knowable_at, {s6('avg(value)', 2)} AS level FROM monthly GROUP BY month_end")
+@Q(with_(fx.MONTHLY) + f"SELECT month_end AS as_of, month_end + 60 AS knowable_at, {s6('avg(value)')} AS level FROM monthly GROUP BY month_end")
 def sink_features(spark, sf):
     """Written in two runs; the second adds only dates that are not there."""
-    rows = fx.monthly(spark, sf).groupBy(F.col("month_end").alias("as_of")).agg(r6(F.avg("value"), 2).alias("level"))
+    rows = fx.monthly(spark, sf).groupBy(F.col("month_end").alias("as_of")).agg(r6(F.avg("value")).alias("level"))
     rows = rows.withColumn("knowable_at", F.date_add("as_of", 60))
     path = fresh_path(spark, "features")
     sinks.append_features(rows.filter("as_of < DATE '1998-01-01'"), path)

@@ -79,10 +79,10 @@ def interval_label_asof(spark, sf):
     return joins.interval_label_asof(months, fx.spans(spark), F.lit("2001-08-31").cast("date"))
 
 
-@Q(with_(fx.MONTHLY, fx.SPAN) + f"SELECT peak, CASE WHEN month_end < peak THEN 'before' WHEN month_end > trough THEN 'after' ELSE 'during' END AS phase, count(*) AS n, {s6('avg(value)', 2)} AS mean FROM monthly JOIN spans ON month_end >= peak - INTERVAL 6 MONTH AND month_end <= last_day(trough + INTERVAL 6 MONTH) GROUP BY ALL")
+@Q(with_(fx.MONTHLY, fx.SPAN) + f"SELECT peak, CASE WHEN month_end < peak THEN 'before' WHEN month_end > trough THEN 'after' ELSE 'during' END AS phase, count(*) AS n, {s6('avg(value)')} AS mean FROM monthly JOIN spans ON month_end >= peak - INTERVAL 6 MONTH AND month_end <= last_day(trough + INTERVAL 6 MONTH) GROUP BY ALL")
 def window_around_event(spark, sf):
     near = joins.window_around_event(fx.monthly(spark, sf), fx.spans(spark))
-    return near.groupBy("peak", "phase").agg(F.count("*").alias("n"), r6(F.avg("value"), 2).alias("mean"))
+    return near.groupBy("peak", "phase").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
 
 
 @Q(with_(fx.MONTHLY) + "SELECT DISTINCT month_end AS as_of FROM monthly WHERE month_end NOT IN (SELECT month_end FROM monthly WHERE code = '5-LOW' AND month_end < DATE '2000-01-01')")

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sizes import small
+
 log = logging.getLogger(__name__)
 
 
@@ -24,7 +26,7 @@ def scan_series(obs: DataFrame, code: str, start: str | None = None, end: str |
 
 def scan_all(obs: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All catalogued observations, and the catalogue's codes that have none."""
-    found = obs.join(F.broadcast(catalogue), "code")
+    found = obs.join(small(catalogue), "code")
     return found, catalogue.join(obs.select("code").distinct(), "code", "left_anti")
 
 
