@@ -55,8 +55,9 @@ def test_empty_store(spark):
 
 
 def test_words_equal_whole_texts():
-    e = token_store._Encoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert e.by_word
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert token_store.keeps_words_apart(path) and not token_store.keeps_words_apart(public_tokenizers.path("byte_bpe_50k.json"))
+    e = token_store._Encoder(path, True)
     rng = random.Random(1)
     signs = ["a", "B", "é", "É", "'", "'s", "'T", "!", "...", ",", " ", "\n", "\x0b", "\x1c", "\x85", " ", " ", "1", "²",
              "<|endoftext|>", "<|EndOfText|>", "<", "|", "́", "ẖ", "H̱", "K", "İ", "Σ", "中", "\U0001f389", "_", "-", "ſ", "가"]
@@ -145,9 +146,10 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     toxic = {d for d, _, x in labels if x}
     assert len(gone & toxic) >= 0.9 * len(toxic) and len(gone - toxic) <= 2
     before, after = kept[1]
-    groups = fx.components([(r["doc_id"], r["text"]) for r in before])
-    leaders = sorted(str(d) for d in {g[2] if g[1] else g[0] for g in groups})
-    assert sorted(str(r["doc_id"]) for r in after) == leaders
+    ids = [r["doc_id"] for r in before]
+    named = [(i if i is not None else 10**9, r["text"]) for i, r in zip(ids, before, strict=True)]
+    leaders = {g[2] if g[1] else g[0] for g in fx.components(named)}
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else 10**9 for r in after) == sorted(leaders)
     before, after = kept[2]
     assert {r["doc_id"] for r in before} - {r["doc_id"] for r in after} == ({60} if any(r["doc_id"] == 60 for r in before) else set())
     before, after = kept[3]
@@ -160,3 +162,13 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 
 def test_queries_carry_their_names():
     assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
+
+
+def test_dedup_stage_with_shared_and_missing_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(3)
+    one, two, three = (fx.prose(rng, 40) for _ in range(3))
+    rows = [(None, one), (None, two), (None, two), (5, three), (5, fx.prose(rng, 40)), (9, one), (7, None), (8, ""), (7, None)]
+    got = corpus_pipeline.near_dedup(spark, fx.frame(spark, [(*r, "en", "s", 0) for r in rows]), "").collect()
+    kept = [(r["doc_id"], r["text"]) for r in got]
+    assert sorted(str(d) for d, _ in kept) == ["5", "7", "8", "9", "None"] and (None, two) in kept and (9, one) in kept

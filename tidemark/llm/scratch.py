@@ -2,35 +2,42 @@
 
 A table that was written and read again cuts lineage: a lost executor costs
 the tasks it ran, not the steps before.  The folder is the session's
-``spark.checkpoint.dir``; only where that is unset (tests, local mode) does
-the library choose one.
+``spark.checkpoint.dir`` (see :func:`tidemark.storage.shared_dir`).
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.storage import shared_dir
+
 SMALL_BATCHES = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 
 _made: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI or path, without a slash at its end."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if not named:
-        # Unset: a single machine, where driver and executors share one disk.
-        named = f"file://{tempfile.gettempdir()}/tidemark-shared"
-    return named.rstrip("/")
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Keeps batches that pass to Python small while a table is written.
+
+    Some MB of long texts are as fast as many, and an executor holds several at a time.
+    """
+    before = {k: spark.conf.get(k, None) for k in SMALL_BATCHES}
+    try:
+        for k, v in SMALL_BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
@@ -45,20 +52,10 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet under ``name`` and return the reread table.
-
-        Batches that pass to Python are kept small meanwhile: some MB of long texts
-        are as fast as many, and an executor holds several at a time.
-        """
-        schema, conf = df.schema, self.spark.conf
-        before = {k: conf.get(k, None) for k in SMALL_BATCHES}
-        try:
-            for k, v in SMALL_BATCHES.items():
-                conf.set(k, v)
+        """Write ``df`` as Parquet under ``name`` and return the reread table."""
+        schema = df.schema
+        with small_batches(self.spark):
             df.write.mode("overwrite").parquet(self.path(name))
-        finally:
-            for k, v in before.items():
-                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -26,6 +26,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
+from tidemark.llm.sampling import fraction
+from tidemark.llm.scratch import small_batches
 
 MAGIC = b"TIDETOK1"
 #: Remembered words: those of few bytes come again, the others serve one slice of texts.
-_CACHE_WORDS, _CACHE_BYTES = 1_000_000, 14
-_SLICE_BYTES = 4 << 20
+_CACHE_WORDS, _CACHE_BYTES = 600_000, 11
+_SLICE_BYTES = 2 << 20
 #: A letter, then other ASCII signs up to white space; ``'`` and ``<`` may join what is around them.
 _SIGNS = re.compile(rb"(?<=[a-z])([^a-z0-9\s\x80-\xff'<]+)(?=\s|$)")
 #: Folded words of letters below U+0250, which NFC leaves alone.
@@ -48,8 +51,9 @@ _DELICATE = (b"\xcc", b"\xcd", b"<|")
 _encoders: dict[str, _Encoder] = {}
 
 
-def _keeps_words_apart(file: dict) -> bool:
+def keeps_words_apart(path: str) -> bool:
     """Whether a tokenizer folds case, drops white space, keeps letters apart from other signs, and is a byte BPE."""
+    file = json.loads(Path(path).read_bytes())
     normal = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])]
     steps = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
     if normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
@@ -81,12 +85,12 @@ class _Encoder:
     of Latin letters go straight to the tokenizer's model.  Others get whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = _keeps_words_apart(json.loads(self.tokenizer.to_str()))
+        self.by_word = by_word
         self.model = self.tokenizer.model
         self.bytes = _byte_characters()
         self.known: dict[bytes, bytes] = {}
@@ -128,10 +132,10 @@ class _Encoder:
         return out
 
 
-def _encoder(path: str) -> _Encoder:
+def _encoder(path: str, by_word: bool) -> _Encoder:
     """One encoder for each worker process, so that what it knows serves all its tasks."""
     if path not in _encoders:
-        _encoders[path] = _Encoder(path)
+        _encoders[path] = _Encoder(path, by_word)
     return _encoders[path]
 
 
@@ -182,7 +186,7 @@ def _dictionary(data: bytes):
 
 
 def _write_shard(
-    batches: Iterator[pa.RecordBatch], root: str, tokenizer: str, end_id: int, level: int
+    batches: Iterator[pa.RecordBatch], root: str, tokenizer: str, by_word: bool, end_id: int, level: int
 ) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -205,7 +209,7 @@ def _write_shard(
         valid.append(np.asarray(column.is_valid()).astype(np.uint8))
         ids.append(column.fill_null(0).to_numpy())
         for _, texts in _texts(batch.column(1)):
-            for found in _encoder(tokenizer).encode(texts):
+            for found in _encoder(tokenizer, by_word).encode(texts):
                 frame = packer.compress(found + end)
                 sink.write(frame)
                 lengths.append(len(frame))
@@ -233,11 +237,11 @@ def _write_shard(
 
 
 def _sample(
-    batches: Iterator[pa.RecordBatch], tokenizer: str, most: int
+    batches: Iterator[pa.RecordBatch], tokenizer: str, by_word: bool, most: int
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in _texts(batch.column(0)):
-            found = [x[: 4 * most] for x in _encoder(tokenizer).encode(texts)]
+            found = [x[: 4 * most] for x in _encoder(tokenizer, by_word).encode(texts)]
             yield pa.RecordBatch.from_pydict({"ids": pa.array(found, pa.binary())})
 
 
@@ -262,26 +266,31 @@ def write_tokens(
     doc_id and text are not read.  An empty table gives an empty store.
 
     The dictionary is trained on at most ``sample_docs`` documents, the least by a
-    hash of their text, and on at most ``sample_ids`` ids of each; it shapes only
+    hash of doc_id and text, and on at most ``sample_ids`` ids of each; it shapes only
     how well frames compress.  A task holds one slice of texts and a shard's
     index, not the shard.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    sample = docs.orderBy(F.xxhash64("text"), "doc_id").limit(sample_docs).select("text").repartition(4)
-    encoded = sample.mapInArrow(lambda it: _sample(it, tokenizer, sample_ids), "ids binary")
+    by_word = keeps_words_apart(tokenizer)
+    rows = docs.count()
+    # A few times the sample's number by hash first, so that the sort gathers no more than that.
+    near = docs.withColumn("h", fraction("doc_id", "text")).filter(F.col("h") <= min(1.0, 3 * sample_docs / max(rows, 1)))
+    sample = near.orderBy("h", "doc_id").limit(sample_docs).select("text").repartition(4)
+    encoded = sample.mapInArrow(lambda it: _sample(it, tokenizer, by_word, sample_ids), "ids binary")
     samples = sorted(bytes(r["ids"]) for r in encoded.collect())
     _write(f"{root}/dictionary.zdict", _train([s for s in samples if s], dictionary_bytes))
-    shards = max(1, -(-docs.count() // rows_per_shard))
+    shards = max(1, -(-rows // rows_per_shard))
     written = (
         docs.repartitionByRange(shards, "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(
-            lambda it: _write_shard(it, root, tokenizer, end_id, level),
+            lambda it: _write_shard(it, root, tokenizer, by_word, end_id, level),
             "shard int, n_docs bigint, n_tokens bigint, n_bytes bigint",
         )
     )
-    written.write.mode("overwrite").parquet(f"{root}/shards")
+    with small_batches(spark):
+        written.write.mode("overwrite").parquet(f"{root}/shards")
     # One row a shard, so one task can add them up.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     spark.read.parquet(f"{root}/shards").withColumn(
