@@ -30,18 +30,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group: the one with the least doc_id."""
+    """Keeps one document of each near-duplicate group: the one with the least doc_id.
+
+    Rows that share a doc_id are one document, of which one row stays if any is
+    kept.  Rows without a doc_id are known by a hash of their text, above all
+    usual ids.
+    """
+    by_text = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(2**62)
+    own = F.coalesce(docs["doc_id"].cast("bigint"), by_text)
+    keyed = docs.select(own.alias("doc_id"), "text")
     kept = (
-        near_duplicates(docs)
-        .filter("kept")
+        near_duplicates(keyed)
         .groupBy(F.col("doc_id").alias("__kept_id"))
-        .agg(F.count("*").alias("__kept_n"))
+        .agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
+        .filter("__kept")
     )
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept_id")))
-    once = rows.filter("__kept_n = 1").select(*[docs[c] for c in docs.columns])
-    # Only repeated rows share a kept doc_id; one of them stays.
-    repeated = rows.filter("__kept_n > 1").select(*[docs[c] for c in docs.columns])
-    return once.union(repeated.dropDuplicates(["doc_id"]))
+    rows = docs.withColumn("__own_id", own).join(kept, F.col("__own_id") == F.col("__kept_id"))
+    once = rows.filter("__rows = 1").select(*docs.columns)
+    repeated = rows.filter("__rows > 1").dropDuplicates(["__own_id"]).select(*docs.columns)
+    return once.union(repeated)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
