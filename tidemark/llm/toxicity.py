@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
+from tidemark.llm.sampling import least_by_hash
 
 BITS = 18
 #: Letters, digits and all bytes of characters beyond ASCII.
@@ -170,13 +171,9 @@ def train_severity(
     """
     known = labels.select(
         F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")
-    ).filter("_id IS NOT NULL AND _toxic IS NOT NULL")
-    picked = [
-        known.filter(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class)
-        for c in (0, 1)
-    ]
+    ).filter("_id IS NOT NULL AND _toxic IN (0, 1)")
     # Bounded by rows_per_class: two numbers a row.
-    chosen = F.broadcast(picked[0].union(picked[1]).dropDuplicates(["_id"]))
+    chosen = F.broadcast(least_by_hash(known, "_toxic", "_id", rows_per_class).dropDuplicates(["_id"]))
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
     rows = (
         texts.join(chosen, F.col("_doc") == F.col("_id"))
@@ -188,15 +185,15 @@ def train_severity(
     if not (toxic == 0).any() or not (toxic == 1).any():
         return None
     features = rows["features"].combine_chunks()
+    del rows
     count = np.diff(features.offsets.to_numpy().astype(np.int64))
-    row = np.repeat(np.arange(len(toxic)), count)
-    feature = features.flatten().to_numpy().astype(np.int64)
+    total = np.add.reduceat(np.append(features.flatten().to_numpy() % 8191, 0), features.offsets.to_numpy()[:-1])
     # The order of collected rows must not matter to sums of floats.
-    first = np.lexsort((count, np.bincount(row, weights=feature % 8191, minlength=len(toxic)), toxic))
-    place = np.empty(len(toxic), dtype=np.int64)
-    place[first] = np.arange(len(toxic))
-    sort = np.lexsort((feature, place[row]))
-    row, feature, toxic = place[row][sort], feature[sort], toxic[first]
+    order = np.lexsort((np.where(count, total, 0), count, toxic))
+    toxic, count = toxic[order], count[order]
+    feature = features.take(pa.array(order)).flatten().to_numpy()
+    del features
+    row = np.repeat(np.arange(len(toxic), dtype=np.int32), count)
     binary = fit_ordinal(row, feature, toxic)
     score = _totals(binary.weights, row, feature, len(toxic))
     middle = np.median(score[toxic == 1])
@@ -222,7 +219,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel, reject: float
 
 
 #: Chance of a grade of 1 or more from which a text is toxic.
-REJECT = 0.4
+REJECT = 0.6
 
 
 def score_severity(
