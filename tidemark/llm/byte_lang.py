@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
+from tidemark.llm.sampling import least_by_hash
 
 LENGTH = 128
 WIDTHS = (2, 3, 4)
@@ -173,15 +174,9 @@ def train_languages(
     known = docs.select(
         F.col("doc_id").alias("doc"), F.col("lang").cast("string").alias("language"), F.col("text").cast("string").alias("text")
     ).filter((fold_of(F.col("doc")) != held_out) & F.col("language").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("language").orderBy(F.xxhash64("doc"), "doc")
-    # Spark keeps only the first rows of each language in every task before it shuffles them.
-    chosen = (
-        known.select("doc", "language", F.lit(0).alias("x"))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= rows_per_language)
-        .select(F.col("doc").alias("id"), F.col("language").alias("of"))
-        .distinct()
-    )
+    ids = known.select(F.col("doc").alias("id"), F.col("language").alias("of"))
+    # Bounded by rows_per_language for each language.
+    chosen = least_by_hash(ids, "of", "id", rows_per_language).distinct()
     rows = (
         known.join(F.broadcast(chosen), (F.col("doc") == F.col("id")) & (F.col("language") == F.col("of")))
         .select("language", "text")
