@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
+from tidemark.llm.sampling import least_by_hash
 
 
 def _table(members: bytes) -> np.ndarray:
@@ -254,12 +255,9 @@ def train_field(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 150
     """
     known = labels.select(
         F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")
-    ).filter("_id IS NOT NULL AND _quality IS NOT NULL")
-    picked = [
-        known.filter(F.col("_quality") == c).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class)
-        for c in (0, 1)
-    ]
-    chosen = F.broadcast(picked[0].union(picked[1]).dropDuplicates(["_id"]))
+    ).filter("_id IS NOT NULL AND _quality IN (0, 1)")
+    # Bounded by rows_per_class: two numbers a row.
+    chosen = F.broadcast(least_by_hash(known, "_quality", "_id", rows_per_class).dropDuplicates(["_id"]))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
