@@ -198,3 +198,77 @@ def test_licences(spark):
     assert by[6]["licences"] == "BSD-2-Clause" and by[7]["unmatched"] == "<bsd-source>" and by[4]["kind"] == "restricted"
     assert by[4]["licences"] == "MIT,all-rights-reserved" and by[8]["licences"] == ",".join(["GPL-3.0-only"] * 3) and by[0]["kind"] == "none"
     assert licences.scan_licences(fx.empty(spark)).collect() == []
+
+
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+
+
+def test_wrapped_licences(spark):
+    def shapes(t):
+        flat = "\n\n".join(re.sub(r"\s*\n\s*", " ", p) for p in t.split("\n\n"))
+        led = ["\n".join(a + line for line in t.split("\n")) for a in ("# ", " * ", "// ", "dnl ", "REM ")]
+        return [t, flat, flat.replace("\n\n", "\n"), t.replace("\n", "\r\n"), "Some code.\n" + t + "\nMore code", *led]
+
+    texts = [(name, t) for name, whole in NOTICES.items() for t in shapes(whole)]
+    texts.append(("Apache-2.0", re.sub(r"\s+", " ", NOTICES["Apache-2.0"])))
+    texts += [("", "Released under\n\nthe MIT License."), ("", "It was never released under the\nMIT License, I think.")]
+    rows = [(i, t, "en", "s", 0) for i, (_, t) in enumerate(texts)]
+    got = {r["doc_id"]: r for r in licences.scan_licences(fx.frame(spark, rows)).collect()}
+    assert [got[i]["licences"] for i in range(len(texts))] == [name for name, _ in texts]
+    left = {got[i]["unmatched"] for i, (name, _) in enumerate(texts) if name}
+    assert left == {""}

@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences, each is normalised, and those that are known
-become identifiers.  The sequence of identifiers is matched against licence
+become identifiers; a known sentence may run over several lines or cuts.  The sequence of identifiers is matched against licence
 rules in their order, longest texts first; a match replaces its identifiers, so
 later rules cannot use them again.  All steps are DataFrame expressions on one
 row; nothing is shuffled.
@@ -97,6 +97,19 @@ RULES = [
 #: Every known sentence holds one of these, so a text without any holds none of them.
 CUES = ["licen", "permission", "copyright", "warrant", "reserved", "redistribut"]
 SENTENCE_END = r"[.!?:][ \t\r\n]+|\n"
+#: Longer pieces that the canonical texts leave uncut, and the known sentences that they hold.
+_COPY = [f"{SENTENCES['apache-copy']} {x} www apache org licenses license 2 0" for x in ("http", "https")]
+FORMS = {
+    f"{SENTENCES['apache-grant']} {SENTENCES['apache-use']}": ["apache-grant", "apache-use"],
+    **{x: ["apache-copy"] for x in _COPY},
+    **{f"{x} {SENTENCES['apache-as-is']}": ["apache-copy", "apache-as-is"] for x in _COPY},
+    SENTENCES["as-is"] + (
+        " including but not limited to the warranties of merchantability fitness for a particular purpose and"
+        " noninfringement"
+    ): ["as-is"],
+}
+#: Comment leaders of letters; those of other characters are white space anyway.
+LEADER = r"(?md)^[^a-z0-9\n]*+(?:dnl|rem)\b"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 assert all(any(c in s for c in CUES) for s in SENTENCES.values())
@@ -108,17 +121,23 @@ def _mark(name: str) -> str:
 
 def identifiers(text: Column) -> Column:
     """The known sentences of a text in their order, as ``<id><id>...``; empty without any."""
-    folded = F.translate(text, UPPER, LOWER)
-    known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (s, _mark(k))])
-
-    def normal(s: Column) -> Column:
-        return F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " "))
-
-    # Only sentences with a cue can be known; the others are not normalised.
-    cue = "|".join(CUES)
-    held = F.filter(F.split(folded, SENTENCE_END), lambda s: s.rlike(cue))
-    marks = F.transform(held, lambda s: F.coalesce(F.try_element_at(known, normal(s)), F.lit("")))
-    return F.when(folded.rlike(cue), F.array_join(marks, "")).otherwise("")
+    folded = F.translate(text, UPPER + "|#", LOWER + "  ")
+    forms = {x: _mark(k) for k, x in SENTENCES.items()} | {x: "".join(map(_mark, ks)) for x, ks in FORMS.items()}
+    known = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv])
+
+    # Words with a space, | at a cut, # at an empty line: a known sentence runs from cut to cut, over | but not over #.
+    marked = F.regexp_replace(folded, LEADER, "")
+    marked = F.regexp_replace(marked, r"\n[^a-z0-9]*\n", "#")
+    marked = F.regexp_replace(marked, SENTENCE_END, "|")
+    marked = F.regexp_replace(F.concat(F.lit("#"), marked, F.lit("#")), r"[^a-z0-9|#]+", " ")
+    marked = F.regexp_replace(marked, r" ?\|[ |]*", "|")
+    marked = F.regexp_replace(marked, "[ |]?#(?:[ |]?#)*[ |]?", "#")
+    longest = sorted(forms, key=len, reverse=True)
+    spans = "(?<=[|#])(?:" + "|".join(x.replace(" ", "[ |]") for x in longest) + ")(?=[|#])"
+    held = F.regexp_extract_all(marked, F.lit(spans), F.lit(0))
+    marks = F.transform(held, lambda x: F.try_element_at(known, F.translate(x, "|", " ")))
+    # A text without a cue holds no known sentence and is not normalised.
+    return F.when(folded.rlike("|".join(CUES)), F.array_join(marks, "")).otherwise("")
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -130,9 +149,11 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     strictest kind among the matches (restricted, copyleft, permissive), else
     ``none``.
 
-    A sentence ends at a newline, or at ``.``, ``!``, ``?`` or ``:`` before white
+    A text is cut at newlines, and at ``.``, ``!``, ``?`` or ``:`` before white
     space; it is normalised by folding A-Z and turning runs of other characters
-    than a-z and 0-9 into a space.  Null and empty texts have empty results and
+    than a-z and 0-9, comment leaders among them, into a space.  A known sentence
+    begins and ends at a cut; it may hold cuts, so that wrapped lines count, but no
+    empty line.  Of sentences at one place the longest counts.  Null and empty texts have empty results and
     kind ``none``.  Repeated rows each get their row, null doc_ids are carried
     along, columns besides doc_id and text are not read.
     """
