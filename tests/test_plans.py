@@ -118,6 +118,14 @@ def test_walk_forward_does_not_change_when_data_is_appended(spark):
     assert nowcast.failures(late).first()["over_budget"] is False
 
 
+def test_walk_forward_has_every_month(spark):
+    months = {r[0] for r in fx.monthly(spark, SF).filter("month_end >= DATE '1998-12-31'").select("month_end").distinct().collect()}
+    got = [r["as_of"] for r in qm.walk_forward(spark, SF).select("as_of").collect()]
+    assert sorted(got) == sorted(months)
+    c = qm.backtest_expanding(spark, SF).first()
+    assert c["tp"] + c["fp"] + c["fn"] + c["tn"] == len(months) // 3
+
+
 def test_bootstrap_does_not_hang_on_tasks(spark):
     rows = fx.scored(spark, SF).filter("signal = 'probit'")
     a = models.bootstrap_metric(rows, "signal", ["p"], draws=60, per_task=7).toPandas().sort_values("draw")["value"].tolist()

@@ -235,16 +235,20 @@ def nowcast_run(spark, sf):
     return nowcast.nowcasts(labelled(spark, sf), last, lagged(spark, sf))
 
 
+def _walk(spark, sf, step):
+    return nowcast.nowcasts(labelled(spark, sf), dates(spark, sf, step), lagged(spark, sf))
+
+
 @Q()
 def walk_forward(spark, sf):
-    """Point-in-time features, a fit for each as-of date."""
-    return nowcast.nowcasts(labelled(spark, sf), dates(spark, sf, 6), lagged(spark, sf))
+    """Point-in-time features, a fit for each month end."""
+    return _walk(spark, sf, 1)
 
 
 @Q()
 def backtest_expanding(spark, sf):
-    """Out-of-sample probabilities against labels."""
-    p = walk_forward(spark, sf).select(F.col("as_of").alias("month_end"), F.col("p_recession").alias("p"))
+    """Out-of-sample probabilities of every third month against labels."""
+    p = _walk(spark, sf, 3).select(F.col("as_of").alias("month_end"), F.col("p_recession").alias("p"))
     scored = p.join(fx.labels(spark, sf), "month_end").withColumn("pred", (F.col("p") > 0.5).cast("int")).withColumn("g", F.lit("all"))
     return metrics.confusion(scored, ["g"])
 
