@@ -126,6 +126,35 @@ def test_walk_forward_has_every_month(spark):
     assert c["tp"] + c["fp"] + c["fn"] + c["tn"] == len(months) // 3
 
 
+def test_nowcasts_use_announced_labels_and_have_all_columns(spark):
+    at = spark.createDataFrame([(day(d),) for d in ("1998-05-31", "1999-01-31", "1999-02-28", "2001-07-31")], "as_of date")
+    months = fx.monthly(spark, SF).select("month_end").distinct()
+    many = {(r["as_of"], r["month_end"], r["y"]) for r in joins.interval_labels_asof(months, fx.spans(spark), at).collect()}
+    single = set()
+    for (d,) in at.collect():
+        single |= {(d, r["month_end"], r["y"]) for r in joins.interval_label_asof(months, fx.spans(spark), F.lit(d)).collect()}
+    assert many == single and (day("1999-01-31"), day("1998-12-31"), 1) in many
+    two = at.filter("as_of IN (DATE '1999-01-31', DATE '2001-07-31')")
+    other = fx.spans(spark).withColumn("trough", F.when(F.year("trough") == 1998, F.lit("1998-11-01").cast("date")).otherwise(F.col("trough")))
+
+    def run(spans):
+        return nowcast.nowcasts(
+            qm.panel(spark, SF), two, qm.lagged(spark, SF), spans=spans, signals=qm.published_signals(spark, SF), growth=qm.gdp_growth(spark, SF)
+        ).orderBy("as_of").collect()
+
+    a, b = run(fx.spans(spark)), run(other)
+    # The trough of 1998 was announced in February 1999, so its month cannot matter in January, but does later.
+    assert a[0] == b[0] and a[1]["p_probit"] != b[1]["p_probit"]
+    for r in a:
+        assert all(v is not None for v in r)
+        parts = [r["p_rsm"], r["p_probit"], r["p_cfnai"], r["p_sahm"]]
+        assert r["p_recession"] == pytest.approx((r["p_probit"] + r["p_cfnai"]) / 2)
+        assert r["dispersion"] == pytest.approx(pd.Series(parts).std(ddof=0)) and r["gdp_ci_width"] >= 1.645
+    assert {"factor_2_d6m", "p_recession_d3m", "gdp_nowcast"} <= set(a[0].asDict())
+    p = {r["month_end"]: r["value"] for r in qm.published_signals(spark, SF).filter("code = 'sahm'").collect()}
+    assert a[0]["p_sahm"] == p[day("1998-12-31")]
+
+
 def test_bootstrap_does_not_hang_on_tasks(spark):
     rows = fx.scored(spark, SF).filter("signal = 'probit'")
     a = models.bootstrap_metric(rows, "signal", ["p"], draws=60, per_task=7).toPandas().sort_values("draw")["value"].tolist()

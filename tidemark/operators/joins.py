@@ -71,6 +71,19 @@ def interval_label_asof(months: DataFrame, spans: DataFrame, as_of: Column) -> D
     return labels.crossJoin(F.broadcast(edge)).filter("month_end <= last_day(edge)").drop("edge")
 
 
+def interval_labels_asof(months: DataFrame, spans: DataFrame, dates: DataFrame) -> DataFrame:
+    """(as_of, month_end, y): :func:`interval_label_asof` for each ``as_of`` of ``dates``."""
+    p = F.coalesce("peak_announced", F.add_months("peak", 12))
+    t = F.coalesce("trough_announced", F.add_months("trough", 12))
+    days = dates.select("as_of").distinct()
+    end = F.when(t <= F.col("as_of"), F.col("trough"))
+    known = days.crossJoin(small(spans)).filter(p <= F.col("as_of")).select(F.col("as_of").alias("_at"), "peak", F.coalesce(end, "as_of").alias("_end"))
+    edge = known.groupBy(F.col("_at").alias("as_of")).agg(F.last_day(F.max("_end")).alias("_edge"))
+    grid = months.crossJoin(small(days)).join(edge, "as_of").filter("month_end <= as_of AND month_end <= _edge")
+    hit = grid.join(known, (F.col("as_of") == F.col("_at")) & F.col("month_end").between(F.col("peak"), F.col("_end")), "left")
+    return hit.groupBy("as_of", "month_end").agg(F.max(F.col("peak").isNotNull().cast("int")).alias("y"))
+
+
 def window_around_event(rows: DataFrame, spans: DataFrame, months: int = 6) -> DataFrame:
     """Rows within ``months`` of a span, with its peak and their phase: before, during or after."""
     near = rows.join(

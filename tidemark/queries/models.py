@@ -228,15 +228,36 @@ def dates(spark, sf, step):
     return align.as_of_grid(fx.monthly(spark, sf), step).filter("as_of >= DATE '1998-12-31'")
 
 
+def published_signals(spark, sf):
+    """(code, month_end, value, lag_days): the signals cfnai and sahm with their series' publication lags."""
+    lags = {name: lag for code, _, _, _, lag in fx.CATALOGUE if (name := fx.SIGNALS.get(code)) in ("cfnai", "sahm")}
+    lag = F.create_map(*[F.lit(x) for kv in lags.items() for x in kv])
+    rows = fx.signals(spark, sf).filter(F.col("signal").isin(*lags))
+    return rows.select(F.col("signal").alias("code"), "month_end", F.col("p").alias("value"), F.element_at(lag, F.col("signal")).alias("lag_days"))
+
+
+def gdp_growth(spark, sf):
+    """(month_end, value, lag_days): annualised quarterly log growth of the series that ols_gdp predicts, 60 days after the quarter."""
+    q = align.quarter_mean(fx.monthly(spark, sf)).filter("code = '2-HIGH'")
+    before = F.lag("value").over(Window.partitionBy("code").orderBy("quarter_end"))
+    return q.select(F.col("quarter_end").alias("month_end"), (400 * F.log(F.try_divide("value", before))).alias("value"), F.lit(60).alias("lag_days"))
+
+
+def _nowcasts(spark, sf, at):
+    return nowcast.nowcasts(
+        panel(spark, sf), at, lagged(spark, sf), spans=fx.spans(spark), signals=published_signals(spark, sf), growth=gdp_growth(spark, sf)
+    )
+
+
 @Q()
 def nowcast_run(spark, sf):
     """A nowcast at the panel's last month."""
     last = dates(spark, sf, 1).agg(F.max("as_of").alias("as_of"))
-    return nowcast.nowcasts(labelled(spark, sf), last, lagged(spark, sf))
+    return _nowcasts(spark, sf, last)
 
 
 def _walk(spark, sf, step):
-    return nowcast.nowcasts(labelled(spark, sf), dates(spark, sf, step), lagged(spark, sf))
+    return _nowcasts(spark, sf, dates(spark, sf, step))
 
 
 @Q()
@@ -342,13 +363,13 @@ def backtest_ensemble(spark, sf):
 def oos_rename(spark, sf):
     """A feature panel as probability columns by month."""
     p = walk_forward(spark, sf)
-    return p.select(F.col("as_of").alias("month_end"), F.col("p_recession").alias("p_ensemble"), "p_probit", "p_rsm")
+    return p.select(F.col("as_of").alias("month_end"), F.col("p_recession").alias("p_ensemble"), *[f"p_{s}" for s in nowcast.SIGNALS])
 
 
 @Q()
 def oos_report(spark, sf):
     """AUC and Brier score of every out-of-sample signal."""
-    p = oos_rename(spark, sf).unpivot(["month_end"], ["p_ensemble", "p_probit", "p_rsm"], "signal", "p")
+    p = oos_rename(spark, sf).unpivot(["month_end"], ["p_ensemble", *[f"p_{s}" for s in nowcast.SIGNALS]], "signal", "p")
     rows = p.join(fx.labels(spark, sf), "month_end")
     return metrics.roc_auc(rows, ["signal"]).join(rows.groupBy("signal").agg(metrics.brier().alias("brier")), "signal")
 
