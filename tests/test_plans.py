@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates
 from tidemark.operators import align, joins, metrics, transforms, windows
 from tidemark.plans import models, nowcast
+from tidemark.queries import evaluation as qe
 from tidemark.queries import fixtures as fx
 from tidemark.queries import models as qm
 from tidemark.sources import series as src
@@ -162,6 +163,16 @@ def test_bootstrap_does_not_hang_on_tasks(spark):
     assert a == b
 
 
+def test_horizons_have_intervals_and_2000_draws(spark):
+    got = {(r["signal"], r["horizon"]): r for r in qe.horizon_intervals(spark, SF).collect()}
+    assert set(got) == {(s, h) for s in fx.SIGNALS.values() for h in (0, 3, 6, 9, 12, 18)}
+    for r in qe.horizon_curve(spark, SF).collect():
+        assert round(got[r["signal"], r["horizon"]]["auc"], 6) == r["auc"]
+    assert all(r["lo"] <= r["auc"] <= r["hi"] and 0 < r["n_positive"] < r["n_obs"] for r in got.values())
+    assert 500 < qm.block_bootstrap_auc(spark, SF).first()["n"] <= 2000
+    assert 500 < qm.paired_bootstrap(spark, SF).first()["n"] <= 2000
+
+
 def test_stream_equals_batch(spark, tmp_path):
     p = panel_of(spark, [1.0, 2.0, None, 4.0, 3.0]).select("code", F.col("month_end").cast("timestamp").alias("published_at"), "value")
     p.repartition(1).write.parquet(f"{tmp_path}/in")

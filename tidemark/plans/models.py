@@ -281,12 +281,14 @@ def calibrated(rows: DataFrame, by: str, y: str, p: str, how: str) -> DataFrame:
 
 
 def bootstrap_metric(
-    rows: DataFrame, by: str, scores: list[str], metric: str = "auc", draws: int = 2000, seed: int = 0, per_task: int = 100
+    rows: DataFrame, by: str, scores: list[str], metric: str = "auc", draws: int = 2000, seed: int = 0, per_task: int = 100,
+    observed: bool = False,
 ) -> DataFrame:
     """(by, draw, value): a metric, or the difference of two, on label runs drawn with replacement.
 
     Draws go out in groups of ``per_task``; a draw's generator is seeded by (seed, draw).
-    Draws with one class are left out; rows with a missing score drop out after the draw.
+    Draws with one class are left out; rows with a missing score drop out after the draw,
+    with ``observed`` before it, though runs are those of all rows.
     """
     f = bootstrap.METRICS[metric]
 
@@ -295,7 +297,12 @@ def bootstrap_metric(
         y = pdf["y"].to_numpy(float)
         p = [pdf[s].to_numpy(float) for s in scores]
         blocks = bootstrap.runs(y)
+        if observed:
+            ok = ~np.any([np.isnan(q) for q in p], axis=0)
+            blocks = [b[ok[b]] for b in blocks if ok[b].any()]
         out = []
+        if not blocks:
+            return pd.DataFrame(out, columns=[by, "draw", "value"])
         for draw in range(key[1] * per_task, min((key[1] + 1) * per_task, draws)):
             i = bootstrap.resample(blocks, seed, draw)
             keep = ~np.any([np.isnan(q[i]) for q in p], axis=0)

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates
 from tidemark.operators import metrics, windows
+from tidemark.plans import models
 from tidemark.queries import fixtures as fx
 from tidemark.queries.fixtures import r6, s6, with_
 from tidemark.queries.relational import _PORT, _UP
 from tidemark.registry import Registry
 
+HORIZONS = (0, 3, 6, 9, 12, 18)
+
 reg = Registry()
 Q = reg.query
 
@@ -246,12 +249,17 @@ def _horizon_sql(h: str) -> str:
 _CURVE = SCORED + ", " + "h AS (" + " UNION ALL ".join(f"SELECT signal, {h} AS horizon, p, lead(y, {h}) OVER (PARTITION BY signal ORDER BY month_end) AS y FROM scored" for h in (0, 3, 6)) + "), " + _AUC.format(t="h", by="signal, horizon") + f", curve AS (SELECT signal, horizon, {s6(_AUC_VALUE)} AS auc FROM ranked GROUP BY ALL)"
 
 
-def _curve(spark, sf):
+def _ahead(spark, sf, horizons):
+    """(signal, month_end, p, horizon, y): each signal against the labels ``horizon`` months later."""
     w = Window.partitionBy("signal").orderBy("month_end")
     base = fx.scored(spark, sf)
-    leads = base.select("signal", "p", *[F.lead("y", h).over(w).alias(str(h)) for h in (0, 3, 6)])
-    rows = leads.unpivot(["signal", "p"], ["0", "3", "6"], "horizon", "y").withColumn("horizon", F.col("horizon").cast("int"))
-    return metrics.roc_auc(rows, ["signal", "horizon"]).select("signal", "horizon", r6("auc").alias("auc"))
+    leads = base.select("signal", "month_end", "p", *[F.lead("y", h).over(w).alias(str(h)) for h in horizons])
+    rows = leads.unpivot(["signal", "month_end", "p"], [str(h) for h in horizons], "horizon", "y")
+    return rows.withColumn("horizon", F.col("horizon").cast("int"))
+
+
+def _curve(spark, sf):
+    return metrics.roc_auc(_ahead(spark, sf, (0, 3, 6)), ["signal", "horizon"]).select("signal", "horizon", r6("auc").alias("auc"))
 
 
 @Q(_CURVE + " SELECT signal, horizon, auc FROM curve")
@@ -264,6 +272,25 @@ def curve_pivot(spark, sf):
     return _curve(spark, sf).groupBy("horizon").pivot("signal", ["cfnai", "probit"]).agg(F.first("auc"))
 
 
+@Q()
+def horizon_intervals(spark, sf):
+    """AUC at all six horizons with block-bootstrap intervals; at least 20 months and both labels."""
+    rows = _ahead(spark, sf, HORIZONS).filter("y IS NOT NULL").withColumn("point", F.concat_ws("|", "signal", "horizon"))
+    seen = rows.filter("p IS NOT NULL")
+    counts = seen.groupBy("signal", "horizon", "point").agg(F.count("*").alias("n_obs"), F.sum("y").alias("n_positive"))
+    draws = models.bootstrap_metric(rows, "point", ["p"], observed=True)
+    ci = metrics.percentile_ci(draws, ["point"], "value").select("point", "lo", "hi")
+    points = metrics.roc_auc(seen, ["signal", "horizon"]).select("signal", "horizon", "auc")
+    full = counts.filter("n_obs >= 20 AND n_positive > 0 AND n_positive < n_obs").join(points, ["signal", "horizon"])
+    return full.join(ci, "point", "left").select("signal", "horizon", "auc", "lo", "hi", "n_obs", "n_positive")
+
+
+@Q()
+def horizon_pivot(spark, sf):
+    """The six horizons by signal."""
+    return horizon_intervals(spark, sf).groupBy("horizon").pivot("signal", list(fx.SIGNALS.values())).agg(F.first("auc"))
+
+
 @Q(SCORED + ", th AS (SELECT round(-2 + i * 0.1, 1) AS thr FROM (SELECT unnest(range(25)) AS i)), k AS (SELECT thr, count(*) FILTER (y = 1 AND z < thr) AS tp, count(*) FILTER (y = 0 AND z < thr) AS fp, count(*) FILTER (y = 1 AND NOT z < thr) AS fn FROM panel JOIN labels USING (month_end), th WHERE code = '2-HIGH' AND z IS NOT NULL GROUP BY thr), f AS (SELECT thr, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM k) " + f"SELECT {s6('thr')} AS threshold, {s6('f1')} AS f1 FROM f ORDER BY f1 DESC, thr LIMIT 1")
 def cfnai_baseline(spark, sf):
     """The threshold that would have been best on the labels themselves: tuned, and named so."""

@@ -187,13 +187,13 @@ def null_ic(spark, sf):
 
 @Q()
 def block_bootstrap_auc(spark, sf):
-    draws = models.bootstrap_metric(fx.scored(spark, sf).filter("signal = 'probit'"), "signal", ["p"], "auc", 500)
+    draws = models.bootstrap_metric(fx.scored(spark, sf).filter("signal = 'probit'"), "signal", ["p"], "auc")
     return metrics.percentile_ci(draws, ["signal"], "value")
 
 
 @Q()
 def paired_bootstrap(spark, sf):
-    draws = models.bootstrap_metric(signals_wide(spark, sf), "g", ["probit", "cfnai"], "brier", 500)
+    draws = models.bootstrap_metric(signals_wide(spark, sf), "g", ["probit", "cfnai"], "brier")
     return metrics.percentile_ci(draws, ["g"], "value")
 
 
