@@ -9,6 +9,7 @@ import pytest
 
 from tests.llm import fixtures as fx
 from tidemark.llm import licences, link_trust, mixing, queries, sharding
+from tidemark.llm.scratch import Scratch
 
 
 def page(host_links):
@@ -272,3 +273,11 @@ def test_wrapped_licences(spark):
     assert [got[i]["licences"] for i in range(len(texts))] == [name for name, _ in texts]
     left = {got[i]["unmatched"] for i, (name, _) in enumerate(texts) if name}
     assert left == {""}
+
+
+def test_a_large_corpus_does_not_end_the_spread(spark):
+    seeds = spark.createDataFrame([("h0", "distrust", 1.0), ("big", "trust", 1e8)], "host string, kind string, mass double")
+    edges = spark.createDataFrame([(f"h{i + 1}", f"h{i}", 1.0) for i in range(8)], "src string, dst string, weight double")
+    found = link_trust.spread(seeds, edges, Scratch(spark, "spread-test"))
+    got = {r["host"]: r["score"] for r in found.filter("kind = 'distrust'").collect()}
+    assert got == pytest.approx({f"h{i}": 0.15 * 0.85**i for i in range(9)})
