@@ -46,3 +46,46 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 180)) and got[301] == 300
     none = spark.createDataFrame([], "a bigint, b bigint")
     assert components(none, Scratch(spark, "t"), "n").count() == 0
+
+
+def families(n, seed=4):
+    """Rows without ids and with shared ones: a text with an id, a near copy, and four at about 75 percent, alike in signatures."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        base = fx.prose(rng, 120).split()
+        rows.append((i, " ".join(base)))
+        for j, changes in enumerate((2, 4, 4, 4, 4)):
+            w = list(base)
+            for at in rng.sample(range(2, 118), changes):
+                w[at] = f"x{rng.randrange(10**6)}"
+            rows.append((None if j % 2 else 10**6, " ".join(w)))
+    return [(d, t, "en", "s", 0) for d, t in rows]
+
+
+@pytest.mark.parametrize("block_rows", [2048, 3])
+def test_rows_without_ids_are_judged_by_their_own_text(spark, block_rows):
+    rows = families(30) + families(2)[:3]
+    got = near_duplicates(fx.frame(spark, rows).repartition(6), block_rows=block_rows).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    want = sorted(fx.components(rows), key=key)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = families(6) + families(2)[:3] + [(7, None, "en", "s", 0), (7, None, "de", "s", 0), (None, "", "en", "s", 0), (8, " ", None, None, None)]
+    named = [(i, *r[1:]) for i, r in enumerate(rows)]
+    df = fx.frame(spark, rows).withColumnRenamed("node", "Row").withColumnRenamed("root", "id").withColumnRenamed("size", "hash")
+    got = near_dedup.drop_near_duplicates(df.repartition(3))
+    assert got.columns == df.columns
+    kept = {}
+    for i, (_, _, group) in enumerate(fx.components(named)):
+        order = (rows[i][0] is None, rows[i][0] or 0)
+        if group not in kept or order < kept[group]:
+            kept[group] = order
+    want = sorted((known, i) for known, i in kept.values())
+    want.remove((False, 7))  # two rows alike in doc_id and text
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == want
+    again = near_dedup.drop_near_duplicates(df.repartition(5))
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+    assert near_dedup.drop_near_duplicates(fx.empty(spark)).collect() == []

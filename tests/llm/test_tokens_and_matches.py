@@ -171,4 +171,5 @@ def test_dedup_stage_with_shared_and_missing_ids(spark):
     rows = [(None, one), (None, two), (None, two), (5, three), (5, fx.prose(rng, 40)), (9, one), (7, None), (8, ""), (7, None)]
     got = corpus_pipeline.near_dedup(spark, fx.frame(spark, [(*r, "en", "s", 0) for r in rows]), "").collect()
     kept = [(r["doc_id"], r["text"]) for r in got]
-    assert sorted(str(d) for d, _ in kept) == ["5", "7", "8", "9", "None"] and (None, two) in kept and (9, one) in kept
+    assert sorted(str(d) for d, _ in kept) == ["5", "5", "7", "8", "9", "None"] and (None, two) in kept and (9, one) in kept
+    assert len({t for d, t in kept if d == 5}) == 2

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licences, link_trust, mixing
+from tidemark.llm import licences, link_trust, mixing, near_dedup
 from tidemark.llm.byte_lang import identify_languages
 from tidemark.llm.decontaminate import benchmark_matches
 from tidemark.llm.line_crf import judge_quality
@@ -119,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The others hang on hashes, models or files that SQL has not; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": near_dedup.oracle(),
     "op2_url_link_trust": link_trust.oracle(URL_RULES),
     "op6_licence_rules": licences.oracle(),
 }
