@@ -8,11 +8,10 @@ the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.mixing import mixed_documents
-from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.near_dedup import drop_near_duplicates
 from tidemark.llm.queries import token_digest
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.toxicity import drop_toxic
@@ -32,23 +31,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: the one with the least doc_id.
 
-    Rows that share a doc_id are one document, of which one row stays if any is
-    kept.  Rows without a doc_id are known by a hash of their text, above all
-    usual ids.
+    Rows that share a doc_id with different texts are different documents; of rows
+    alike in doc_id and text one stays.
     """
-    by_text = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(2**62)
-    own = F.coalesce(docs["doc_id"].cast("bigint"), by_text)
-    keyed = docs.select(own.alias("doc_id"), "text")
-    kept = (
-        near_duplicates(keyed)
-        .groupBy(F.col("doc_id").alias("__kept_id"))
-        .agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
-        .filter("__kept")
-    )
-    rows = docs.withColumn("__own_id", own).join(kept, F.col("__own_id") == F.col("__kept_id"))
-    once = rows.filter("__rows = 1").select(*docs.columns)
-    repeated = rows.filter("__rows > 1").dropDuplicates(["__own_id"]).select(*docs.columns)
-    return once.union(repeated)
+    return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
