@@ -171,3 +171,100 @@ def test_windows_cover_whole_texts(n):
     data = np.arange(n, dtype=np.uint8)
     got = byte_lang.cut(data, np.zeros(min(n, 1), int), np.full(min(n, 1), n))
     assert got.shape == (min(n, 1), byte_lang.LENGTH) and (got[:, n:] == 0).all()
+
+
+def plain_features(text):
+    """Hash numbers of a text's features, word by word."""
+    import re
+    from collections import Counter
+
+    from tidemark.llm import textkit as tk
+
+    def number(data, tag):
+        raw = np.frombuffer(data, np.uint8)
+        h = tk.mix(tk.span_hashes(raw, np.array([0]), np.array([len(raw)])) + tk.U64(tag))
+        return int(h[0] >> np.uint64(64 - toxicity.BITS))
+
+    found, times = set(), Counter()
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower()):
+        times[number(w, 1)] += 1
+        found |= {number(w[:4], 2), number(w[:5], 3)}
+    for w, n in times.items():
+        found.add(w)
+        for tag, least in ((4, 2), (5, 4)):
+            if n >= least:
+                h = tk.mix(np.array([w], np.uint64) + tk.U64(tag << toxicity.BITS))
+                found.add(int(h[0] >> np.uint64(64 - toxicity.BITS)))
+    return found
+
+
+def test_severity_equals_a_plain_sum_of_weights(spark):
+    rows, labels = corpus(200)
+    rows += [(900, None, None, None, 0), (901, "Vile vile vile, VILE! é été 12ab", None, None, 0)]
+    df = fx.frame(spark, rows)
+    model = toxicity.train_severity(df, labelled(spark, labels))
+    got = {r["doc_id"]: r for r in toxicity.score_severity(df, labelled(spark, labels)).collect()}
+    for i, text, *_ in rows:
+        z = sum(float(model.weights[f]) for f in plain_features(text))
+        p = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert got[i]["severity"] == pytest.approx(sum(p), abs=1e-4)
+        assert got[i]["kept"] == (p[0] < model.reject) or abs(p[0] - model.reject) < 1e-6
+
+
+def test_the_cut_has_the_fewest_wrong_verdicts():
+    rng = np.random.default_rng(3)
+    for n in (2, 7, 200):
+        toxic = np.arange(n) % 2
+        chance = np.clip(rng.normal(0.3 + 0.3 * toxic, 0.2), 0.01, 0.99).round(2)
+        weight = (3.0, 1.0)
+        wrong = lambda cut: sum(weight[0] if c >= cut and not t else weight[1] if c < cut and t else 0 for c, t in zip(chance, toxic, strict=True))  # noqa: E731, B023
+        assert wrong(toxicity.best_cut(chance, toxic, weight)) == min(wrong(c) for c in [0, 1.1, *chance, *(chance + 0.005)])
+
+
+def test_samples_are_bounded_and_do_not_hang_on_repeats(spark):
+    from tidemark.llm import sampling
+
+    rows = [(i, f"text {i}", "en", "s", 0) for i in range(50)] + [(3, f"other {i}", "en", "s", 0) for i in range(500)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(50)] + [(3, 1, 0)] * 400 + [(4, 1, 1)]
+    df, known = fx.frame(spark, rows), labelled(spark, labels)
+    got = [tuple(r) for r in sampling.labelled_texts(df, known, "toxic", 20).collect()]
+    again = [tuple(r) for r in sampling.labelled_texts(df.repartition(7), known.repartition(3), "toxic", 20).collect()]
+    assert sorted(got) == sorted(again)
+    per = [sum(y == k for y, _ in got) for k in (0, 1)]
+    assert 18 <= per[0] <= 20 and per[1] == 10 and "text 4" not in {t for _, t in got}
+    assert sampling.labelled_texts(df, known, "toxic", 20, class_bytes=30).count() <= 8
+    assert sum(t.startswith("other") for _, t in got) <= 1
+
+
+def test_lines_inside_a_text_change_sides(spark):
+    """Training knows documents only; junk documents hold clean lines, and the field learns where lines turn."""
+    rng = random.Random(6)
+    clean = lambda n: [fx.prose(rng, 12).replace("\n", " ") + "." for _ in range(n)]
+    junk = lambda n: [" ".join(w.upper() + "!! ###" for w in fx.prose(rng, 12).split()) for _ in range(n)]
+    rows, labels, truth = [], [], {}
+    for i in range(300):
+        lines = [(x, 0) for x in clean(rng.randrange(2, 6))] + [(x, 0) for x in clean(2)]
+        bad = i % 3 == 0
+        lines[2:2] = [(x, 1) for x in junk(rng.randrange(14, 20) if bad else rng.randrange(0, 2))]
+        rows.append((i, "\n".join(x for x, _ in lines), "en", "s", 0))
+        labels.append((i, int(not bad), 0))
+        truth[i] = [k for _, k in lines]
+    field = line_crf.train_field(fx.frame(spark, rows), labelled(spark, [r for r in labels if r[0] % 2]))
+    right = total = 0
+    for i, text, *_ in rows:
+        if i % 2 == 0:
+            data = np.frombuffer(text.encode(), np.uint8)
+            x = line_crf.measure(data, np.array([0, len(data)]))
+            right += (line_crf.decode(field, x.features, x.at) == truth[i]).sum()
+            total += len(truth[i])
+    assert right > 0.97 * total
+
+
+def test_relabelled_lines_obey_their_document():
+    rng = np.random.default_rng(8)
+    at = np.concatenate([[0], np.cumsum(rng.integers(1, 9, 200))])
+    words, p, good = rng.integers(1, 20, at[-1]), rng.random(at[-1]), rng.random(200) < 0.5
+    labels = line_crf.relabel(p, words, at, good, 0.5)
+    for row, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        held = words[i:j][labels[i:j] == line_crf.CONTENT].sum()
+        assert (held >= 0.5 * words[i:j].sum()) == good[row]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.sampling import least_by_hash
+from tidemark.llm.sampling import CLASS_BYTES, least_by_hash, one_text_each
 
 LENGTH = 128
 WIDTHS = (2, 3, 4)
@@ -164,22 +164,25 @@ def _extract(batches: Iterator[pa.RecordBatch], each: int) -> Iterator[pa.Record
 
 
 def train_languages(
-    docs: DataFrame, *, held_out: int = 1, rows_per_language: int = 1200, windows_per_row: int = 4
+    docs: DataFrame, *, held_out: int = 1, rows_per_language: int = 1200, windows_per_row: int = 4, most_languages: int = 400
 ) -> Network | None:
     """A network from text and lang of the documents outside the held-out fold, or None without such documents.
 
     At most ``rows_per_language`` documents of each language are used, the least by
-    a hash of doc_id, and ``windows_per_row`` windows spread evenly over each.
+    a hash of doc_id, and ``windows_per_row`` windows spread evenly over each.  Of
+    rows alike in doc_id and lang one text trains, the least by hash.  Over
+    ``most_languages`` languages are an error, as the sample must stay bounded.
     """
     known = docs.select(
         F.col("doc_id").alias("doc"), F.col("lang").cast("string").alias("language"), F.col("text").cast("string").alias("text")
     ).filter((fold_of(F.col("doc")) != held_out) & F.col("language").isNotNull() & F.col("text").isNotNull())
-    ids = known.select(F.col("doc").alias("id"), F.col("language").alias("of"))
-    # Bounded by rows_per_language for each language.
-    chosen = least_by_hash(ids, "of", "id", rows_per_language).distinct()
+    several = len(known.select("language").distinct().limit(most_languages + 1).collect())
+    if several > most_languages:
+        raise ValueError(f"lang has over {most_languages} values")
+    # Bounded by rows_per_language for each of most_languages.
+    chosen = least_by_hash(known.select("doc", "language"), "language", "doc", rows_per_language)
     rows = (
-        known.join(F.broadcast(chosen), (F.col("doc") == F.col("id")) & (F.col("language") == F.col("of")))
-        .select("language", "text")
+        one_text_each(known, chosen, ["doc", "language"], "language", CLASS_BYTES)
         .mapInArrow(lambda it: _extract(it, windows_per_row), "lang string, bytes binary")
         .toArrow()
     )

@@ -2,9 +2,19 @@
 
 Lines of a text that hold a word form a sequence.  Viterbi decoding marks each
 as content or boilerplate; the share of words in content lines decides whether
-the text stays, after base rules on length and repetition.  The field is
-trained on lines of labelled documents, which take their document's quality
-label.  All counts are taken from whole texts, for a slice of texts at a time.
+the text stays, after base rules on length and repetition.
+
+Labels exist for documents only, so the labels of training lines are found by
+expectation and maximisation: they start as their document's label; then the
+field is fitted, and each line takes the label that the field finds likelier,
+as far as its document's label allows: a good document has at least
+``min_content_share`` of its words in content lines, a bad one less.  Where a
+document breaks this, its most doubtful lines change sides until it holds.  The
+first rounds judge each line alone, as moves between labels cannot be learned
+from labels that never change within a text; the later ones judge it in context.
+So good documents come to have boilerplate lines, bad ones content lines, and
+transitions between the two are learned.  All counts are taken from whole texts,
+for a slice of texts at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.sampling import least_by_hash
+from tidemark.llm.sampling import labelled_texts
 
 
 def _table(members: bytes) -> np.ndarray:
@@ -191,90 +201,121 @@ def decode(field: Field, features: np.ndarray, at: np.ndarray) -> np.ndarray:
     return labels
 
 
-def fit_field(
-    features: np.ndarray, at: np.ndarray, labels: np.ndarray, *, steps: int = 150, l2: float = 1.0, longest: int = 64
-) -> Field:
-    """Penalised maximum likelihood by forward-backward sums and Adam; long sequences are cut every ``longest`` lines."""
-    begin = np.concatenate([np.arange(i, j, longest) for i, j in zip(at[:-1], at[1:], strict=True)] or [[]])
-    begin = begin.astype(np.int64)
-    stop = np.minimum(begin + longest, at[np.searchsorted(at, begin, side="right")])
-    order = np.argsort(begin - stop, kind="stable")
-    begin, count = begin[order], (stop - begin)[order]
-    top = int(count[0])
-    live = [int(np.searchsorted(-count, -t, side="left")) for t in range(top)]
-    truth = np.eye(2)[labels]
-    emit, move, first = np.zeros((features.shape[1], 2)), np.zeros((2, 2)), np.zeros(2)
-    wanted_move = np.zeros((2, 2))
-    for t in range(1, top):
-        i = begin[: live[t]] + t
-        np.add.at(wanted_move, (labels[i - 1], labels[i]), 1)
-    wanted_first, wanted_emit = truth[begin].sum(axis=0), features.T @ truth
-    m = [np.zeros_like(x) for x in (emit, move, first)]
-    v = [np.zeros_like(x) for x in (emit, move, first)]
-
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        high = x.max(axis=axis, keepdims=True)
-        return (high + np.log(np.exp(x - high).sum(axis=axis, keepdims=True))).squeeze(axis)
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    high = x.max(axis=axis, keepdims=True)
+    return (high + np.log(np.exp(x - high).sum(axis=axis, keepdims=True))).squeeze(axis)
 
-    for step in range(1, steps + 1):
-        score = features @ emit
-        alpha = [first + score[begin]]
+
+class _Chains:
+    """Sequences laid out for forward and backward sums over all of them at once.
+
+    Sequences of over ``longest`` lines are worked on in pieces, so that memory and steps are bounded; what
+    begins in the middle of a text gets no score for a first label.
+    """
+
+    def __init__(self, at: np.ndarray, longest: int):
+        begin = np.concatenate([np.arange(i, j, longest) for i, j in zip(at[:-1], at[1:], strict=True)] or [[]])
+        begin = begin.astype(np.int64)
+        stop = np.minimum(begin + longest, at[np.searchsorted(at, begin, side="right")])
+        order = np.argsort(begin - stop, kind="stable")
+        self.begin, count = begin[order], (stop - begin)[order]
+        self.head = np.isin(self.begin, at[:-1])
+        self.top = int(count[0]) if len(count) else 0
+        self.live = [int(np.searchsorted(-count, -t, side="left")) for t in range(self.top)]
+
+    def expect(self, field: Field, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(label) of every line, and the expected number of each move."""
+        begin, live, top = self.begin, self.live, self.top
+        alpha = [np.where(self.head[:, None], field.first, 0.0) + score[begin]]
         for t in range(1, top):
-            alpha.append(lse(alpha[-1][: live[t], :, None] + move, 1) + score[begin[: live[t]] + t])
-        share = np.zeros_like(score)
-        beta = np.zeros((0, 2))
-        moves = np.zeros((2, 2))
+            alpha.append(_lse(alpha[-1][: live[t], :, None] + field.move, 1) + score[begin[: live[t]] + t])
+        share, moves, beta = np.zeros_like(score), np.zeros((2, 2)), np.zeros((0, 2))
         for t in range(top - 1, -1, -1):
             own = np.zeros((live[t], 2))
             if len(beta):
                 ahead = score[begin[: len(beta)] + t + 1] + beta
-                own[: len(beta)] = lse(move[None] + ahead[:, None, :], 2)
-                whole = alpha[t][: len(beta), :, None] + move + ahead[:, None, :]
-                moves += np.exp(whole - lse(whole.reshape(-1, 4), 1)[:, None, None]).sum(axis=0)
+                own[: len(beta)] = _lse(field.move[None] + ahead[:, None, :], 2)
+                whole = alpha[t][: len(beta), :, None] + field.move + ahead[:, None, :]
+                moves += np.exp(whole - _lse(whole.reshape(-1, 4), 1)[:, None, None]).sum(axis=0)
             beta = own
             both = alpha[t] + beta
-            share[begin[: live[t]] + t] = np.exp(both - lse(both, 1)[:, None])
-        n = len(begin)
-        grads = [
-            (wanted_emit - features.T @ share - l2 * emit) / n,
-            (wanted_move - moves - l2 * move) / n,
-            (wanted_first - share[begin].sum(axis=0) - l2 * first) / n,
-        ]
-        for i, (x, g) in enumerate(zip((emit, move, first), grads, strict=True)):
+            share[begin[: live[t]] + t] = np.exp(both - _lse(both, 1)[:, None])
+        return share, moves
+
+    def moves(self, labels: np.ndarray) -> np.ndarray:
+        out = np.zeros((2, 2))
+        for t in range(1, self.top):
+            i = self.begin[: self.live[t]] + t
+            np.add.at(out, (labels[i - 1], labels[i]), 1)
+        return out
+
+
+def fit_field(
+    features: np.ndarray, at: np.ndarray, labels: np.ndarray, *, steps: int = 150, l2: float = 1.0, longest: int = 64,
+    start: Field | None = None,
+) -> Field:
+    """Penalised maximum likelihood by forward-backward sums and Adam."""
+    chains, truth = _Chains(at, longest), np.eye(2)[labels]
+    x = [np.zeros((features.shape[1], 2)), np.zeros((2, 2)), np.zeros(2)]
+    if start is not None:
+        x = [start.emit.copy(), start.move.copy(), start.first.copy()]
+    heads = chains.begin[chains.head]
+    wanted = [features.T @ truth, chains.moves(labels), truth[heads].sum(axis=0)]
+    m, v = [np.zeros_like(p) for p in x], [np.zeros_like(p) for p in x]
+    for step in range(1, steps + 1):
+        share, moves = chains.expect(Field(*x), features @ x[0])
+        found = [features.T @ share, moves, share[heads].sum(axis=0)]
+        for i, p in enumerate(x):
+            g = (wanted[i] - found[i] - l2 * p) / len(chains.begin)
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
-            x += 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
-    return Field(emit, move, first)
+            p += 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
+    return Field(*x)
+
+
+def relabel(content: np.ndarray, words: np.ndarray, at: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
+    """Line labels from P(content) of lines, as far as documents' labels allow.
+
+    ``good`` marks documents that have at least ``share`` of their words in content
+    lines; the others have less.
+    """
+    labels = np.where(content >= 0.5, CONTENT, BOILERPLATE)
+    for row, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        own, need = labels[i:j], share * words[i:j].sum()
+        held = words[i:j][own == CONTENT].sum()
+        if (held >= need) == good[row]:
+            continue
+        # The likeliest content lines first; as many of them as the label asks for, or allows.
+        order = np.argsort(-content[i:j], kind="stable")
+        total = np.cumsum(words[i:j][order])
+        most = int(np.searchsorted(total, need, side="left"))  # lines that hold less than the share
+        own[order] = np.where(np.arange(j - i) < most + bool(good[row]), CONTENT, BOILERPLATE)
+    return labels
 
 
-def train_field(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 1500) -> Field | None:
+def train_field(
+    docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 1500, class_bytes: int = 6 << 20, share: float = 0.5
+) -> Field | None:
     """The field, or None where the labels do not hold both classes.
 
     At most ``rows_per_class`` labelled documents of each class are used, the least
-    by a hash of doc_id.
+    by a hash of doc_id, with at most ``class_bytes`` bytes of text, each line counting
+    20 more.  See :func:`tidemark.llm.sampling.labelled_texts` for labels that are null
+    or contradict each other and for repeated doc_ids.
     """
-    known = labels.select(
-        F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")
-    ).filter("_id IS NOT NULL AND _quality IN (0, 1)")
-    # Bounded by rows_per_class: two numbers a row.
-    chosen = F.broadcast(least_by_hash(known, "_quality", "_id", rows_per_class).dropDuplicates(["_id"]))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in tk.slices(batch.column(1)):
                 lines = measure(data, offsets)
-                flat = lines.features.astype(np.float32).reshape(-1)
-                lists = pa.ListArray.from_arrays(
-                    pa.array((lines.at * FEATURES).astype(np.int32)), pa.array(flat)
-                )
+                flat = np.column_stack([lines.words, lines.features]).astype(np.float32).reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array((lines.at * (FEATURES + 1)).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), lists], ["quality", "features"]
                 )
 
-    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("_text"))
     rows = (
-        texts.join(chosen, F.col("_doc") == F.col("_id"))
-        .select("_quality", "_text")
+        labelled_texts(docs, labels, "quality", rows_per_class, class_bytes, line_bytes=20)
         .mapInArrow(extract, "quality int, features array<float>")
         .toArrow()
     )
@@ -285,12 +326,18 @@ def train_field(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 150
     )
     if len({q for q, _ in found}) < 2:
         return None
-    features = [np.frombuffer(x, np.float32).reshape(-1, FEATURES).astype(np.float64) for _, x in found]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in features])])
-    labels_ = np.concatenate(
-        [np.full(len(x), CONTENT if q else BOILERPLATE) for (q, _), x in zip(found, features, strict=True)]
-    )
-    return fit_field(np.concatenate(features), at, labels_)
+    lines = [np.frombuffer(x, np.float32).reshape(-1, FEATURES + 1) for _, x in found]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
+    good = np.array([q == 1 for q, _ in found])
+    whole = np.concatenate(lines).astype(np.float64)
+    words, features = whole[:, 0], np.ascontiguousarray(whole[:, 1:])
+    label = np.where(np.repeat(good, np.diff(at)), CONTENT, BOILERPLATE)
+    field = None
+    for longest, steps in ((1, 150), (1, 60), (64, 150), (64, 60)):
+        field = fit_field(features, at, label, start=field, steps=steps, longest=longest)
+        p, _ = _Chains(at, longest).expect(field, features @ field.emit)
+        label = relabel(p[:, CONTENT], words, at, good, share)
+    return fit_field(features, at, label, start=field, steps=60)
 
 
 def judge_quality(
@@ -314,7 +361,7 @@ def judge_quality(
     each get their row, null doc_ids are carried along, further columns are not
     read.  An empty table gives an empty result.
     """
-    field = train_field(docs, labels, rows_per_class=rows_per_class)
+    field = train_field(docs, labels, rows_per_class=rows_per_class, share=min_content_share)
     if field is None:
         field = Field(np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.array([1.0, 0.0]))
         field.emit[0, CONTENT] = 1.0
