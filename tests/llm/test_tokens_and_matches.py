@@ -100,15 +100,15 @@ def test_matches_equal_brute_force(spark):
     bench = spark.createDataFrame(items + odd, "item_id bigint, text string")
     for block_bytes in (1_000_000, 200):
         got = decontaminate.benchmark_matches(fx.frame(spark, rows).repartition(4), bench, block_bytes=block_bytes).collect()
-        found = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got if r["doc_id"] is not None)
+        found = [(r["doc_id"], r["item_id"], r["distance"]) for r in got if r["doc_id"] is not None]
         want = []
         for doc_id, text, *_ in rows:
             folded = decontaminate.fold((text or "").encode())
-            for item_id, item in [*items, (3, items[3][1])]:
+            for item_id, item in [*items, (3, items[3][1]), (None, items[0][1])]:
                 p = decontaminate.fold(item.encode())
                 if doc_id is not None and len(folded) < 5000 and (d := fx.substring_distance(p, folded)) <= decontaminate.budget(len(p), 0.08, 12):
                     want.append((doc_id, item_id, d))
-        assert found == sorted(want)
+        assert sorted(map(str, found)) == sorted(map(str, want))
     assert len(found) > 30
     df = fx.frame(spark, rows)
     left = decontaminate.drop_contaminated(df, bench)
@@ -117,6 +117,44 @@ def test_matches_equal_brute_force(spark):
     assert decontaminate.benchmark_matches(df, bench.limit(0)).collect() == []
 
 
+def test_short_items_occur_whole_and_exactly(spark):
+    items = [(1, "Wer?"), (2, "2 + 2"), (3, "the capital"), (4, "ÄÖ ü"), (5, "a longer item of 24 let"), (6, "!?"), (7, "x")]
+    texts = [
+        "Wer", "wer 2, 2", "werk 2 21", "of the CAPITAL.", "thecapital the capitals", "äö", "an ÄÖ-ü", "ÄÖ üb", "a longer item of 24 let",
+        "a longer item of 25 let", "x", "xx", "y x", None, "", "hot" * 3000 + " x",
+    ]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for block_bytes in (1_000_000, 10):
+        got = decontaminate.benchmark_matches(fx.frame(spark, rows).repartition(3), bench, block_bytes=block_bytes).collect()
+        want = []
+        for i, t in enumerate(texts):
+            folded = f" {decontaminate.fold((t or '').encode())} "
+            for k, item in items:
+                p = decontaminate.fold(item.encode())
+                if p and f" {p} " in folded:
+                    want.append((i, k, 0, len(p)))
+        assert sorted((r["doc_id"], r["item_id"], r["distance"], r["item_bytes"]) for r in got) == sorted(want)
+    assert {(0, 1), (1, 1), (1, 2), (3, 3), (8, 5), (10, 7), (15, 7)} <= {w[:2] for w in want}
+
+
+def test_every_allowed_error_is_found_in_items_of_all_lengths():
+    rng = random.Random(11)
+    items = [(n, "".join(rng.choice("abcdefgh ") for _ in range(n)).strip().replace("  ", "a ") or "a") for n in range(1, 160)]
+    items = [(n, decontaminate.fold(t.encode())) for n, t in items]
+    matcher = decontaminate.Matcher([(n, t, decontaminate.budget(len(t), 0.08, 25)) for n, t in items]).build()
+    texts, wanted = [], []
+    for n, t in items:
+        k = decontaminate.budget(len(t), 0.08, 25)
+        near = decontaminate.fold(edits(rng, t, k).encode()) if k else t
+        texts.append(decontaminate.fold(f"zz {near} zz".encode()))
+        wanted.append((n, t, k))
+    found = {row: dict.fromkeys(m[0] for m in matcher.find(texts[row], begins)) for row, begins in matcher.hits([t.encode("latin-1") for t in texts])}
+    for row, (n, t, k) in enumerate(wanted):
+        if fx.substring_distance(t, texts[row]) <= k:
+            assert n in found[row], (n, t, texts[row])
+
+
 def write_tables(spark, path, rows, items, labels):
     fx.frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
