@@ -140,15 +140,44 @@ def test_mixed_documents_keep_columns_and_repeat(spark):
     assert all(target[s] - 1 <= took[s] <= target[s] + 2 * longest for s in size)
 
 
-def test_targets_oracle(spark):
-    rows = fx.documents()
+def duck_rows(spark, rows, sql):
+    """Rows of the SQL over the view documents, as sorted strings."""
     c = duckdb.connect()
-    documents = fx.frame(spark, rows).select("doc_id", "text", "source").toPandas()
+    documents = fx.frame(spark, rows).select("doc_id", "text", "source").toArrow()
     c.register("documents", documents)
-    known = lambda x: "none" if x is None or x != x else str(int(x))
-    want = sorted((known(a), b, d, round(e, 6)) for a, b, d, e in c.sql(mixing.oracle()).fetchall())
-    got = mixing.mix_sources(fx.frame(spark, rows)).select("doc_id", "size", "source_size", "target").collect()
-    assert sorted((known(r[0]), r[1], r[2], round(r[3], 6)) for r in got) == want
+    return sorted(map(str, c.sql(sql).fetchall()))
+
+
+def without_ids(n=60):
+    rng = __import__("random").Random(12)
+    return [(None if i % 3 else 7, fx.prose(rng, 30), "en", "s9", 0) for i in range(n)]
+
+
+def test_mix_equals_sql(spark):
+    for rows in (fx.documents() + without_ids() + without_ids(10), fx.documents()[:3]):
+        names = ["doc_id", "size", "source_size", "target", "taken"]
+        got = mixing.mix_sources(fx.frame(spark, rows), rows_per_range=16).select(*names).collect()
+        assert sorted(str(tuple(r)) for r in got) == duck_rows(spark, rows, mixing.oracle())
+
+
+def test_rows_without_ids_keep_to_the_budget(spark):
+    rows = fx.documents() + without_ids(90) + without_ids(30)
+    size, took = defaultdict(int), defaultdict(int)
+    for _, t, _, s, _ in rows:
+        size[s] += len(fx.words(t))
+    df = fx.frame(spark, rows).withColumnRenamed("node", "row").withColumnRenamed("root", "n").withColumnRenamed("taken", "times")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        took[r["source"]] += len(fx.words(r["text"]))
+    target = fill(size)
+    assert target["s9"] - 1 <= took["s9"] < target["s9"] + 40
+
+
+def test_shards_equal_sql(spark):
+    rows = fx.documents() + without_ids() + [(-5, "ß\u0000x\U0001f389", "en", "s", 0), (2**62, "a" * 3000, None, None, 0)]
+    got = sharding.shard_documents(fx.frame(spark, rows), shards=16, rows_per_range=5).collect()
+    assert sorted(str(tuple(r)) for r in got) == duck_rows(spark, rows, sharding.oracle(16))
 
 
 def test_shards(spark):

@@ -1,6 +1,7 @@
 """Mixing sources to target weights by cutting a random order at each source's exact budget.
 
-Every document gets a hash-random key.  Keys are range-partitioned within each
+Every document gets a random key, a hash of its doc_id and its text, so that
+different texts that share a doc_id, or have none, lie apart.  Keys are range-partitioned within each
 source into ranges of a bounded expected size; range totals and their prefix
 sums place every range before, across or behind the source's cut, so only the
 one range that the cut falls into is sorted document by document.  Budgets over
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys have so many hexadecimal digits.
+DIGITS = 15
 
 
 def word_count(text: Column) -> Column:
@@ -24,6 +27,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def random_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number from 0 to 16**DIGITS - 1 that hangs on seed, doc_id and text; also to be had in SQL."""
+    parts = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(parts), 1, DIGITS), 16, 10).cast("bigint")
+
+
 def targets(
     sizes: DataFrame, *, weights: Sequence[float], share: float, most: float
 ) -> DataFrame:
@@ -64,7 +73,7 @@ def mix_sources(
     seed: int = 20,
     rows_per_range: int = 4096,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken), a row for each row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken, key), a row for each row of ``docs``.
 
     ``size`` counts words (null text: 0).  ``taken`` is the number of words the mix
     takes from the document, repeats counted: whole epochs of its source, and one
@@ -72,18 +81,22 @@ def mix_sources(
     is spent; the document at the cut gives the words that are left.  So the sum
     of ``taken`` over a source is exactly its budget.
 
-    The order is a hash of doc_id and ``seed``, with ties by doc_id and size;
-    repeated rows are told apart by nothing else, so reruns give the same rows.
+    The order is a hash of ``seed``, doc_id and text, with ties by doc_id and size;
+    rows alike in all three differ in nothing that is returned, so reruns give the
+    same rows.
     A null source is a source of its own, the last; null doc_ids take part.
     Sources without words have target 0.  Other columns are not read; an empty
     table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    key = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    text = F.col("text").cast("string")
     rows = scratch.save(
         docs.select(
-            "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")
-        ).withColumn("key", key),
+            "doc_id",
+            F.col("source").cast("string").alias("source"),
+            word_count(text).alias("size"),
+            random_key(F.col("doc_id"), text, seed).alias("key"),
+        ),
         "rows",
     )
     sizes = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
@@ -100,10 +113,8 @@ def mix_sources(
         .withColumn("ranges", F.ceil(F.col("n") / F.lit(rows_per_range)).cast("bigint")),
         "budgets",
     )
-    # Keys as fractions of the 64-bit range; range r of R holds fractions r/R to (r + 1)/R.
-    place = F.least(
-        F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * F.col("ranges")), F.col("ranges") - 1
-    ).cast("bigint")
+    # Keys as fractions; range r of R holds fractions r/R to (r + 1)/R.
+    place = F.least(F.floor(F.col("key") / F.lit(16.0**DIGITS) * F.col("ranges")), F.col("ranges") - 1).cast("bigint")
     # Sources are few: with their budgets they come to every row without a shuffle of the rows
     # as long as Spark finds them small; else it shuffles.
     placed = rows.join(budgets, rows["source"].eqNullSafe(budgets["source"])).select(
@@ -134,7 +145,7 @@ def mix_sources(
     )
     located = placed.join(bounds, F.col("source").eqNullSafe(F.col("of")))
     inside = F.col("cut_range").isNotNull() & (F.col("range") == F.col("cut_range"))
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "key"]
     base = F.col("epochs") * F.col("size")
     fits = (F.col("range") < F.col("first_not_whole")) & (F.col("rest") > 0)
     outer = located.filter(~inside).select(
@@ -146,48 +157,64 @@ def mix_sources(
     ) - F.col("size")
     more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
     inner = located.filter(inside).withColumn("more", more).select(*columns, (base + F.col("more")).alias("taken"))
-    return outer.union(inner)
+    return outer.union(inner).select(*columns[:-1], "taken", "key")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, seed: int = 20, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all their columns, repeated as often as it takes them.
 
     A document is repeated once for every time the mix begins it; the one at a
     source's cut is not shortened, so a source exceeds its budget by less than one
-    document.  Rows that share a doc_id and source are matched as one group: they
-    have one key and so lie side by side in the order; each row of the group is
-    repeated as the group's mean asks, rounded up.
+    document.  Rows alike in doc_id, text and source share the number of times that
+    the mix begins one of them: each gets the same share, and those that come first
+    by their columns as JSON one more.
     """
     taken = (
-        mix_sources(docs, **options)
-        .groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_of"))
-        .agg(F.sum("size").alias("__mix_size"), F.sum("taken").alias("__mix_taken"))
-        .filter("__mix_taken > 0")
+        mix_sources(docs, seed=seed, **options)
+        .groupBy("key", "source")
+        .agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("n"))
+        .filter("taken > 0")
+        .select("key", "source", "n", F.ceil(F.col("taken") / F.col("size")).cast("bigint").alias("times"))
+    )
+    text = F.col("text").cast("string")
+    # One column holds the row, so that no name clashes.
+    named = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        random_key(F.col("doc_id"), text, seed).alias("key"),
+        F.col("source").cast("string").alias("source"),
+    )
+    rows = named.join(taken, (named["key"] == taken["key"]) & named["source"].eqNullSafe(taken["source"])).select(
+        "row", taken["key"], taken["source"], "n", "times"
+    )
+    alike = Window.partitionBy("key", "source").orderBy(F.to_json("row"))
+    one = rows.filter("n = 1").select("row", "times")
+    several = rows.filter("n > 1").withColumn("turn", F.row_number().over(alike)).select(
+        "row", F.expr("times div n + CASE WHEN turn <= times % n THEN 1 ELSE 0 END").alias("times")
     )
-    times = F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int")
     return (
-        docs.join(
-            taken,
-            docs["doc_id"].eqNullSafe(F.col("__mix_id"))
-            & docs["source"].cast("string").eqNullSafe(F.col("__mix_of")),
-        )
-        .withColumn("__mix_time", F.explode(F.sequence(F.lit(1), times)))
-        .select(*[docs[c] for c in docs.columns])
+        one.union(several.filter("times > 0"))
+        .select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
+        .select("row.*")
     )
 
 
-def oracle(weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> str:
-    """DuckDB SQL for the columns that do not hang on Spark's hash."""
+def oracle(weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 20) -> str:
+    """DuckDB SQL for (doc_id, size, source_size, target, taken) of :func:`mix_sources` on the view ``documents``."""
     listed = ", ".join(str(float(w)) for w in weights)
     word = WORD
     return f"""
 WITH rows AS MATERIALIZED (SELECT doc_id, source,
-  coalesce(len(regexp_extract_all(text, '{word}')), 0)::BIGINT AS size FROM documents),
+  coalesce(len(regexp_extract_all(text, '{word}')), 0)::BIGINT AS size,
+  ('0x' || md5(concat('{seed}:', coalesce(doc_id::VARCHAR, ''), ':', md5(coalesce(text, ''))))[1:{DIGITS}])::BIGINT AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 w AS (SELECT *, [{listed}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)}) + 1]::DOUBLE AS weight,
   source_size * {float(most)}::DOUBLE AS cap FROM s),
 l AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER () * {float(share)}::DOUBLE
   - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, least(cap, coalesce(weight * max(level) FILTER (level <= ratio) OVER (), cap)) AS target FROM l)
-SELECT doc_id, size, source_size, target FROM rows JOIN t ON rows.source IS NOT DISTINCT FROM t.source"""
+t AS (SELECT source, source_size, least(cap, coalesce(weight * max(level) FILTER (level <= ratio) OVER (), cap)) AS target FROM l),
+b AS (SELECT *, floor(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM t),
+o AS (SELECT rows.*, source_size, target, epochs, budget - epochs * source_size AS rest,
+  sum(size) OVER (PARTITION BY rows.source ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM rows JOIN b ON rows.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM o"""

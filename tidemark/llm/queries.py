@@ -10,13 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licences, link_trust, mixing, near_dedup
+from tidemark.llm import licences, link_trust, mixing, near_dedup, sharding
 from tidemark.llm.byte_lang import identify_languages
 from tidemark.llm.decontaminate import benchmark_matches
 from tidemark.llm.line_crf import judge_quality
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.sharding import shard_documents
 from tidemark.llm.token_store import read_tokens, write_tokens
 from tidemark.llm.toxicity import score_severity
 
@@ -83,7 +82,7 @@ def op6_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 15 and slots of all documents."""
-    return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,5 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": near_dedup.oracle(),
     "op2_url_link_trust": link_trust.oracle(URL_RULES),
+    "op5_mix_sources": mixing.oracle(),
     "op6_licence_rules": licences.oracle(),
+    "op7_jump_shards": sharding.oracle(16),
 }

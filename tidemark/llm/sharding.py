@@ -19,6 +19,8 @@ from tidemark.llm.scratch import Scratch
 # Fixed values of the published generator.
 MULTIPLIER = 2862933555777941757
 INCREMENT = 1
+#: Keys that order slots have so many hexadecimal digits.
+DIGITS = 15
 
 
 def _let(value: Column, body) -> Column:
@@ -80,6 +82,12 @@ def jump_shard(key: Column, shards: int) -> Column:
     return _let(F.coalesce(key.cast("bigint"), F.lit(-1).cast("bigint")), jump)
 
 
+def slot_key(doc_id: Column, crc: Column) -> Column:
+    """A number from 0 to 16**DIGITS - 1 by which slots are ordered; also to be had in SQL."""
+    parts = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), crc.cast("string"))
+    return F.conv(F.substring(F.md5(parts), 1, DIGITS), 16, 10).cast("bigint")
+
+
 def shard_documents(
     docs: DataFrame, *, shards: int = 16, rows_per_range: int = 4096
 ) -> DataFrame:
@@ -88,11 +96,12 @@ def shard_documents(
     Law ``key``: doc_id and shard count decide.  ``size`` is the text's UTF-8 bytes
     plus 1, ``text_crc32`` the unsigned CRC-32 of those bytes (null text: of
     none), ``grown_shard`` the shard with one shard more, ``slot`` the place in
-    the shard, from 0 without gaps, ordered by range of a hash of doc_id, then by
+    the shard, from 0 without gaps, ordered by a hash of doc_id and CRC, then by
     doc_id, CRC and size.  Rows that agree in all three differ in nothing that is
     returned, so reruns give the same rows.
 
-    A null doc_id counts as key -1.  Equal doc_ids share a shard.  Other columns
+    A null doc_id counts as key -1.  Equal doc_ids share a shard, but the hash
+    spreads their texts over its ranges.  Other columns
     are not read; an empty table gives an empty result.
 
     Slots are distributed prefix sums: counts by shard and range are added up, rows
@@ -110,18 +119,16 @@ def shard_documents(
         ),
         "rows",
     )
-    ranges = max(1, -(-rows.count() // (shards * rows_per_range)))
-    placed = rows.withColumn(
-        "range",
-        F.least(
-            F.floor((F.xxhash64("doc_id", F.lit(7)) / F.lit(2.0**64) + 0.5) * ranges), F.lit(ranges - 1)
-        ).cast("bigint"),
+    per_shard = rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    ranges = max(1, -(-per_shard // rows_per_range))
+    placed = rows.withColumn("order", slot_key(F.col("doc_id"), F.col("text_crc32"))).withColumn(
+        "range", F.least(F.floor(F.col("order") / F.lit(16.0**DIGITS) * ranges), F.lit(ranges - 1)).cast("bigint")
     )
     counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"))
     running = Window.partitionBy("shard").orderBy("range")
     starts = counts.select("shard", "range", (F.sum("n").over(running) - F.col("n")).alias("start"))
     within = F.row_number().over(
-        Window.partitionBy("shard", "range").orderBy("doc_id", "text_crc32", "size")
+        Window.partitionBy("shard", "range").orderBy("order", "doc_id", "text_crc32", "size")
     )
     return (
         placed.withColumn("within", within)
@@ -136,3 +143,30 @@ def shard_documents(
             "grown_shard",
         )
     )
+
+
+def oracle(shards: int = 16) -> str:
+    """DuckDB SQL for :func:`shard_documents` on the view ``documents``."""
+
+    def jumps(name: str, n: int) -> str:
+        # State: b and j, and the generator's number; 2**33 - 1 is the least divisor, for a number of zeros.
+        step = f"((r.key::HUGEINT * {MULTIPLIER} + {INCREMENT}) % 18446744073709551616)"
+        return f"""
+{name}(id, key, b, j) AS (SELECT id, CASE WHEN id < 0 THEN id::HUGEINT + 18446744073709551616 ELSE id::HUGEINT END, -1::BIGINT, 0::BIGINT FROM ids
+  UNION ALL SELECT r.id, x.key, r.j, floor((r.j + 1) * (2147483648.0::DOUBLE / ((x.key // 8589934592) + 1)::DOUBLE))::BIGINT
+  FROM {name} r, LATERAL (SELECT {step} AS key) x WHERE r.j < {n})"""
+
+    table = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+    return f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {table} AS t),
+ids AS (SELECT DISTINCT coalesce(doc_id, -1) AS id FROM documents),{jumps("walk", shards)},{jumps("grown", shards + 1)},
+texts AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents),
+crcs AS MATERIALIZED (SELECT text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(text))),
+  lambda i: (strpos('0123456789ABCDEF', hex(encode(text))[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', hex(encode(text))[2 * i + 2]) - 1)),
+  lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS text_crc32 FROM texts, crc),
+placed AS (SELECT doc_id, octet_length(encode(crcs.text)) + 1 AS size, text_crc32,
+  (SELECT max(b) FROM walk WHERE id = coalesce(doc_id, -1)) AS shard, (SELECT max(b) FROM grown WHERE id = coalesce(doc_id, -1)) AS grown_shard
+  FROM documents JOIN crcs ON coalesce(documents.text, '') = crcs.text)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard
+  ORDER BY ('0x' || md5(concat(coalesce(doc_id::VARCHAR, ''), ':', text_crc32::VARCHAR))[1:{DIGITS}])::BIGINT, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+  grown_shard::INT AS grown_shard FROM placed"""
