@@ -310,3 +310,48 @@ def test_a_large_corpus_does_not_end_the_spread(spark):
     found = link_trust.spread(seeds, edges, Scratch(spark, "spread-test"))
     got = {r["host"]: r["score"] for r in found.filter("kind = 'distrust'").collect()}
     assert got == pytest.approx({f"h{i}": 0.15 * 0.85**i for i in range(9)})
+
+
+def test_circles_of_links_settle(spark):
+    """Two circles that feed each other, and a long way out of them: scores as by solving the linear system."""
+    import numpy as np
+
+    ways = [(0, 1, 1.0), (1, 2, 3.0), (2, 0, 2.0), (2, 3, 1.0), (3, 4, 1.0), (4, 2, 1.0)] + [(i, i + 1, 1.0) for i in range(4, 30)]
+    share = np.zeros((31, 31))
+    for a, b, w in ways:
+        share[b, a] = w / sum(x for s, _, x in ways if s == a)
+    want = np.linalg.solve(np.eye(31) - 0.85 * share, 0.15 * np.eye(31)[0] * 4)
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", w) for a, b, w in ways], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", "trust", 4.0)], "host string, kind string, mass double")
+    got = {r["host"]: r["score"] for r in link_trust.spread(seeds, edges, Scratch(spark, "circle")).collect()}
+    assert got == pytest.approx({f"h{i}": x for i, x in enumerate(want)}, rel=1e-6)
+
+
+def test_named_licences_and_tags(spark):
+    said = [
+        ("LGPL-2.1-only", "Some code. This library is fine.\nReleased under the\n * GNU Lesser General Public License, version 2.1.\nx"),
+        ("ISC", "This project is licensed under the ISC License."), ("BUSL-1.1", "made available under the Business Source License 1.1"),
+        ("CC-BY-NC-SA-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 License."),
+        ("EPL-2.0", "// SPDX-License-Identifier: EPL-2.0\nint x;"), ("AGPL-3.0-only,MIT", "SPDX-License-Identifier: AGPL-3.0-only\nReleased under the MIT License"),
+        ("Unlicense", "This is free and unencumbered software released into the public\ndomain."), ("", "We never said released under the MIT License, did we"),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ]
+    got = {r["doc_id"]: r for r in licences.scan_licences(fx.frame(spark, [(i, t, "en", "s", 0) for i, (_, t) in enumerate(said)])).collect()}
+    assert [got[i]["licences"] for i in range(len(said))] == [name for name, _ in said]
+    assert [got[i]["kind"] for i in (0, 1, 2, 3, 7)] == ["copyleft", "permissive", "restricted", "restricted", "none"]
+
+
+def test_every_known_sentence_is_recognised(spark):
+    stated = {
+        f"{a}{b} {c} {name}": k
+        for a in licences.SUBJECTS for b in licences.SAID for c in licences.UNDER for name, k in licences.NAMES.items()
+    } | licences.TAGS
+    own = set(licences.SENTENCES.values())
+    forms = [(x, f"<{k}>") for k, x in licences.SENTENCES.items()] + [(x, f"<{k}>") for x, k in stated.items() if x not in own]
+    text = "\n\n".join(x for x, _ in forms)
+    got = licences.scan_licences(fx.frame(spark, [(1, text, "en", "s", 0)])).collect()[0]
+    assert got["sentence_ids"] == "".join(m for _, m in forms) and got["unmatched"].count("says") == 0
+    alone = [(i, x, "en", "s", 0) for i, (x, _) in enumerate(forms) if i % 9 == 0 and not x.startswith("spdx")]
+    names = ["doc_id", "sentence_ids", "licences", "unmatched", "kind"]
+    found = licences.scan_licences(fx.frame(spark, alone)).select(*names).collect()
+    assert sorted(str(tuple(r)) for r in found) == duck_rows(spark, alone, licences.oracle())

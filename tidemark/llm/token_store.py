@@ -52,11 +52,16 @@ _encoders: dict[str, _Encoder] = {}
 
 
 def keeps_words_apart(path: str) -> bool:
-    """Whether a tokenizer folds case, drops white space, keeps letters apart from other signs, and is a byte BPE."""
+    """Whether a tokenizer folds case, drops white space, keeps letters apart from other signs, and is a byte BPE.
+
+    Its normaliser may replace runs of white space by a space, and nothing else.
+    """
     file = json.loads(Path(path).read_bytes())
-    normal = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])]
+    normal = (file.get("normalizer") or {}).get("normalizers", [])
     steps = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    if normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+    if [n["type"] for n in normal] != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return False
+    if normal[1]["pattern"] != {"Regex": r"\s+"} or normal[1]["content"] != " ":
         return False
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     level = steps[1]
@@ -262,8 +267,10 @@ def write_tokens(
     ``tokenizer`` is the path of a ``tokenizers`` file that every executor can read;
     ``end_id`` is appended to each document.  Null and empty texts give the end id
     alone.  Documents are written in ascending order of doc_id, null first, ties
-    in order of their texts; repeated rows are all written.  Columns besides
-    doc_id and text are not read.  An empty table gives an empty store.
+    in order of a hash of their texts; repeated rows are all written.  Columns besides
+    doc_id and text are not read.  An empty table gives an empty store.  Rows that
+    share a doc_id are dealt over shards by a hash of their texts, and rows alike in
+    both by the input partition they come from, so no shard grows with one doc_id.
 
     The dictionary is trained on at most ``sample_docs`` documents, the least by a
     hash of doc_id and text, and on at most ``sample_ids`` ids of each; it shapes only
@@ -281,9 +288,12 @@ def write_tokens(
     samples = sorted(bytes(r["ids"]) for r in encoded.collect())
     _write(f"{root}/dictionary.zdict", _train([s for s in samples if s], dictionary_bytes))
     shards = max(1, -(-rows // rows_per_shard))
+    order = ["doc_id", "hash", "part"]
     written = (
-        docs.repartitionByRange(shards, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("part"))
+        .repartitionByRange(shards, *order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
         .mapInArrow(
             lambda it: _write_shard(it, root, tokenizer, by_word, end_id, level),
             "shard int, n_docs bigint, n_tokens bigint, n_bytes bigint",
