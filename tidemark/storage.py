@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests, one machine) a local folder."""
+    """``spark.checkpoint.dir``; only where it is unset and all runs on one machine (tests) a local folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or f"file://{tempfile.gettempdir()}/tidemark-shared").rstrip("/")
 
 
