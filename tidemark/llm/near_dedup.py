@@ -150,13 +150,18 @@ def _screen(
 
 
 def _joined_key(sig: np.ndarray, key: int, chunks: int, width: int, errors: int) -> tuple[int, int]:
-    """Which chunk and which choice of places made ``key`` from a signature."""
-    keep = _places(width, errors)
-    for c in range(chunks):
-        for m in range(len(keep)):
-            if int(_key(sig[None], c, m, keep).view(np.int64)[0]) == key:
-                return c, m
-    raise ValueError("the key is not one of the signature's")
+    """Which chunk and which choice of places made ``key`` from a signature: all its keys at once."""
+    keep = np.array(_places(width, errors))
+    chunk = np.repeat(np.arange(chunks), len(keep))
+    picked = sig[chunk[:, None], np.tile(keep, (chunks, 1))].astype(np.uint64)
+    own = np.arange(1, len(chunk) + 1, dtype=np.uint64)
+    for p in range(keep.shape[1]):
+        own = own * tk.U64(0x9E3779B97F4A7C15) + picked[:, p] + tk.U64(1)
+        own ^= own >> tk.U64(29)
+    at = np.flatnonzero(tk.mix(own).view(np.int64) == key)
+    if not len(at):
+        raise ValueError("the key is not one of the signature's")
+    return int(at[0]) // len(keep), int(at[0]) % len(keep)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -441,12 +446,15 @@ def find_groups(
             "main",
             dealt(F.col("members") - F.col("main_members"), F.col("shingles") - F.col("main_shingles")).alias("others"),
             dealt(F.col("main_members"), F.col("main_shingles")).alias("mains"),
+            dealt(F.col("members"), F.col("shingles")).alias("blocks"),
         )
     )
-    in_main = F.col("root") == F.col("main")
-    turn = F.xxhash64("node")
+    # A bucket that fits into one block is one; there, members of a component are passed over.
+    in_main = (F.col("root") == F.col("main")) & (F.col("blocks") > 1)
+    turn = F.when(F.col("blocks") > 1, F.xxhash64("node")).otherwise(0)
     own = F.when(in_main, F.col("others") + F.pmod(turn, F.col("mains"))).otherwise(F.pmod(turn, F.col("others")))
-    last = F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    whole = F.when(F.col("blocks") > 1, F.col("others") + F.col("mains")).otherwise(F.col("others"))
+    last = F.when(in_main, F.col("others")).otherwise(whole) - 1
     spread = (
         member.join(mixed, "key")
         .withColumn("own", own.cast("int"))
