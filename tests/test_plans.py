@@ -2,12 +2,13 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates
-from tidemark.operators import align, joins, metrics, transforms, windows
+from tidemark.operators import align, fitted, joins, metrics, transforms, windows
 from tidemark.plans import models, nowcast
 from tidemark.queries import evaluation as qe
 from tidemark.queries import fixtures as fx
@@ -212,3 +213,71 @@ def test_label_order():
     assert models.check_label_order(["recession", "slow", "expansion"])
     with pytest.raises(ValueError):
         models.check_label_order(["expansion", "recession"])
+
+
+def test_purge_and_embargo_on_both_sides(spark):
+    rows = spark.range(60).select(F.col("id").alias("rn"))
+    edges = metrics.fold_edges(spark, 60, 4, 12)
+    base = metrics.folds(rows, edges, expanding=False)
+    for horizon, held in ((0, 0), (3, 0), (0, 4), (2, 5)):
+        got = {(r["fold"], r["rn"], r["role"]) for r in metrics.embargo(metrics.purge(base, horizon), held).collect()}
+        want = set()
+        for fold, lo, hi in edges.collect():
+            for i in range(60):
+                if lo <= i < hi:
+                    want.add((fold, i, "test"))
+                    continue
+                meets = horizon > 0 and bool(set(range(i, i + horizon + 1)) & set(range(lo, hi + horizon)))
+                if not meets and not hi <= i < hi + held:
+                    want.add((fold, i, "train"))
+        assert got == want
+
+
+def test_forward_join_over_years_without_days(spark):
+    rng = np.random.default_rng(5)
+    day = lambda n: dt.date(1990, 1, 1) + dt.timedelta(days=int(n))
+    days = sorted({day(n) for n in [*rng.integers(0, 900, 30), *rng.integers(2600, 4000, 20)]})
+    asked = [(i, day(n)) for i, n in enumerate(rng.integers(-800, 4400, 200))]
+    got = joins.asof_forward(
+        spark.createDataFrame(asked, "i int, at date"), spark.createDataFrame([(d,) for d in days], "d date"), known="at", day="d"
+    ).collect()
+    want = {i: next((d for d in days if d >= a), None) for i, a in asked}
+    assert {r["i"]: r["entry"] for r in got} == {i: d for i, d in want.items() if d}
+
+
+def test_published_indicator_is_carried_and_falls_back(spark):
+    d = dt.date
+    obs = spark.createDataFrame([("u", d(2000, 3, 5), 1.0), ("u", d(2000, 3, 20), 0.0), ("u", d(2000, 5, 1), 1.0), ("u", d(2000, 6, 1), None)], "code string, obs_date date, value double")
+    months = spark.createDataFrame([(d(2000, m, 28 + (m != 2) * 2 + (m in (1, 3, 5, 7))),) for m in range(1, 8)], "month_end date").select(F.last_day("month_end").alias("month_end"))
+    table = months.withColumn("y", F.lit(1))
+    got = [r["y"] for r in src.published_indicator(obs, months, table).orderBy("month_end").collect()]
+    assert got == [1, 1, 0, 0, 1, 1, 1]
+    assert {r["y"] for r in src.published_indicator(obs.limit(0), months, table).collect()} == {1}
+
+
+def test_regime_inputs_fall_back(spark):
+    def chosen(rows, wanted):
+        df = spark.createDataFrame([(dt.date(2000, 1, 31), *r) for r in rows], "as_of date, factor string, name string, strength double, quality double")
+        return sorted(r["factor"] for r in fitted.regime_inputs(df, wanted).collect())
+
+    rows = [("f1", "a", 0.5, 1.2), ("f2", "b", 0.004, 1.5), ("f3", "c", 0.3, 0.5), ("f4", "d", None, None)]
+    assert chosen(rows, ["a", "b", "c", "d"]) == ["f1", "f4"]
+    assert chosen(rows, ["b"]) == ["f2"] and chosen(rows, ["c"]) == ["f3"] and chosen(rows, ["b", "c"]) == ["f3"]
+    assert chosen(rows, ["none"]) == ["f1", "f2", "f3", "f4"]
+
+
+def test_stored_model_scores_as_the_fitted_one(spark):
+    from tidemark.kernels import statespace
+
+    panels = models.one_group(qm.panel(spark, SF))
+    stored = models.fitted_parameters(panels, k=2, max_iter=30)
+    w = models._wide(panels.toPandas(), "z")
+    model, _, _ = statespace.fit_factors(w.to_numpy(float), 2, (), 30)
+    want = model.transform(w.to_numpy(float))
+    got = {(r["month_end"], r["factor"]): r for r in models.score_stored(panels, stored).collect()}
+    for i, month in enumerate(w.index):
+        for j in range(2):
+            assert abs(got[month, f"factor_{j + 1}"]["score"] - want[i, j]) < 1e-6
+    assert all(0 <= r["p_first"] <= 1 for (_, f), r in got.items() if f == "factor_1")
+    parts = {(r["model"], r["part"]) for r in stored.select("model", "part").distinct().collect()}
+    assert {("factors", x) for x in ("A", "C", "Q", "R", "mean", "std", "rotation", "loadings")} | {("regimes", x) for x in ("means", "covs", "P")} <= parts

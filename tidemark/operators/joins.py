@@ -30,14 +30,25 @@ def asof_backward(grid: DataFrame, facts: DataFrame, *, by: list[str], t: str, t
 
 
 def asof_forward(rows: DataFrame, calendar: DataFrame, *, known: str, day: str) -> DataFrame:
-    """Adds to each row the first ``day`` of ``calendar`` on or after ``known``; rows without one are dropped."""
+    """Adds to each row the first ``day`` of ``calendar`` on or after ``known``; rows without one are dropped.
+
+    Rows meet the days of their own year in one window for each year; for those
+    behind a year's last day the first day of a later year counts, from a table of
+    one row for each year.
+    """
     columns = rows.columns
+    days = calendar.select(F.col(day).alias("_d")).distinct()
     left = rows.select(F.struct(*columns).alias("_row"), F.col(known).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("date").alias("_d"))
-    right = calendar.select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(day).alias("_t"), F.lit(1).alias("_side"), F.col(day).alias("_d"))
-    # A calendar is one series of days, so this window has the size of the calendar and the dates asked.
-    w = Window.orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    joined = left.union(right).withColumn("entry", F.first("_d", ignorenulls=True).over(w))
-    return joined.filter("_side = 0 AND entry IS NOT NULL").select("_row.*", "entry")
+    right = days.select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col("_d").alias("_t"), F.lit(1).alias("_side"), "_d")
+    both = left.union(right).withColumn("_year", F.year("_t"))
+    w = Window.partitionBy("_year").orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
+    own = both.withColumn("_own", F.first("_d", ignorenulls=True).over(w)).filter("_side = 0")
+    # A dimension: one row for each year that is asked for or has days.
+    years = both.groupBy("_year").agg(F.min("_d").alias("_first"))
+    later = Window.orderBy("_year").rowsBetween(1, Window.unboundedFollowing)
+    ahead = years.select("_year", F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    joined = own.join(small(ahead), "_year").withColumn("entry", F.coalesce("_own", "_later"))
+    return joined.filter("entry IS NOT NULL").select("_row.*", "entry")
 
 
 def knowable_date(rows: DataFrame, releases: DataFrame, quarter: str, release: str, assumed_days: int) -> DataFrame:
@@ -68,7 +79,7 @@ def interval_label_asof(months: DataFrame, spans: DataFrame, as_of: Column) -> D
         small(known), (F.col("month_end") >= F.col("peak")) & (F.col("month_end") <= F.coalesce("trough", as_of)), "left"
     )
     labels = hit.groupBy("month_end").agg(F.max(F.col("peak").isNotNull().cast("int")).alias("y"))
-    return labels.crossJoin(F.broadcast(edge)).filter("month_end <= last_day(edge)").drop("edge")
+    return labels.crossJoin(small(edge, 1)).filter("month_end <= last_day(edge)").drop("edge")
 
 
 def interval_labels_asof(months: DataFrame, spans: DataFrame, dates: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def reliability_bins(rows: DataFrame, bins: int = 10, y: str = "y", p: str = "p"
     found = rows.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(own.alias("bin")).agg(
         F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("rate")
     )
-    return F.broadcast(spine).join(found, "bin", "left").fillna(0, ["n"])
+    return small(spine, bins).join(found, "bin", "left").fillna(0, ["n"])
 
 
 def latest_published(rows: DataFrame, by: Sequence[str], value: str = "value", date: str = "month_end", fallback: float = 0.5) -> DataFrame:
@@ -144,16 +144,73 @@ def fold_edges(spark, n: int, splits: int, min_train: int) -> DataFrame:
     ).filter("test_hi > test_lo")
 
 
-def purged_folds(rows: DataFrame, edges: DataFrame, horizon: int = 1, embargo: int = 0, rn: str = "rn") -> DataFrame:
-    """(fold, rn, role): expanding training rows before each test block, purged and embargoed.
+def folds(rows: DataFrame, edges: DataFrame, rn: str = "rn", expanding: bool = True) -> DataFrame:
+    """(fold, rn, role): test rows and training rows, those before the test block or, not ``expanding``, all others."""
+    i = F.col(rn)
+    test = (i >= F.col("test_lo")) & (i < F.col("test_hi"))
+    train = i < F.col("test_lo") if expanding else ~test
+    role = F.when(test, "test").when(train, "train")
+    return rows.select(rn).crossJoin(small(edges)).withColumn("role", role).filter("role IS NOT NULL").select("fold", rn, "role")
+
+
+def _test_block(folds: DataFrame, rn: str) -> DataFrame:
+    i = F.when(F.col("role") == "test", F.col(rn))
+    return folds.groupBy("fold").agg(F.min(i).alias("_first"), F.max(i).alias("_last"))
+
 
-    A training row is purged when its label window [rn, rn + horizon] meets the test
-    block's [test_lo, test_hi - 1 + horizon], and dropped within ``embargo`` rows after it.
+def purge(folds: DataFrame, horizon: int, rn: str = "rn") -> DataFrame:
+    """Folds (fold, rn, role) without training rows whose label window meets the test block's.
+
+    Row i is labelled over [i, i + horizon], the test block over [first, last +
+    horizon]; training rows may lie on either side.  No horizon purges nothing.
     """
+    if horizon <= 0:
+        return folds
     i = F.col(rn)
-    test = (i >= F.col("test_lo")) & (i < F.col("test_hi"))
-    meets = (i + horizon >= F.col("test_lo")) & (i <= F.col("test_hi") - 1 + horizon)
-    purged = meets if horizon > 0 else F.lit(False)
-    held = (i >= F.col("test_hi")) & (i < F.col("test_hi") + embargo)
-    role = F.when(test, "test").when((i < F.col("test_lo")) & ~purged & ~held, "train")
-    return rows.select(rn).crossJoin(F.broadcast(edges)).withColumn("role", role).filter("role IS NOT NULL").select("fold", rn, "role")
+    meets = (i + horizon >= F.col("_first")) & (i <= F.col("_last") + horizon)
+    joined = folds.join(_test_block(folds, rn), "fold")
+    return joined.filter((F.col("role") == "test") | ~F.coalesce(meets, F.lit(False))).select("fold", rn, "role")
+
+
+def embargo(folds: DataFrame, rows: int, rn: str = "rn") -> DataFrame:
+    """Folds (fold, rn, role) without training rows among the ``rows`` right after the test block."""
+    i = F.col(rn)
+    near = (i > F.col("_last")) & (i <= F.col("_last") + rows)
+    joined = folds.join(_test_block(folds, rn), "fold")
+    return joined.filter((F.col("role") == "test") | ~F.coalesce(near, F.lit(False))).select("fold", rn, "role")
+
+
+def purged_folds(rows: DataFrame, edges: DataFrame, horizon: int = 1, embargoed: int = 0, rn: str = "rn") -> DataFrame:
+    """(fold, rn, role): expanding training rows before each test block, purged and embargoed."""
+    return embargo(purge(folds(rows, edges, rn), horizon, rn), embargoed, rn)
+
+
+def episode_breakdown(rows: DataFrame, spans: DataFrame, by: Sequence[str], months: int = 6) -> DataFrame:
+    """How each span was told, from (by..., month_end, y, p, pred) within ``months`` of it.
+
+    (by..., peak, months, recall, lag, mean_p, max_p, mean_before, false_before,
+    false_after): ``lag`` is from the peak to the first detection, or all of the
+    span's months where there is none; false alarms are those outside it.
+    """
+    near = rows.join(
+        small(spans.select("peak", "trough")),
+        (F.col("month_end") >= F.add_months("peak", -months)) & (F.col("month_end") <= F.add_months("trough", months)),
+    )
+    inside, hit = F.col("y") == 1, F.col("pred") == 1
+    before = (F.col("month_end") < F.col("peak")) & (F.col("y") == 0)
+    after = (F.col("month_end") > F.col("trough")) & (F.col("y") == 0)
+    found = near.groupBy(*by, "peak").agg(
+        F.count_if(inside).alias("months"),
+        F.count_if(inside & hit).alias("detected"),
+        F.min(F.when(inside & hit, F.col("month_end"))).alias("first"),
+        F.avg(F.when(inside, F.col("p"))).alias("mean_p"),
+        F.max(F.when(inside, F.col("p"))).alias("max_p"),
+        F.avg(F.when(before, F.col("p"))).alias("mean_before"),
+        F.count_if(before & hit).alias("false_before"),
+        F.count_if(after & hit).alias("false_after"),
+    )
+    lag = F.coalesce(months_between_ends(F.col("first"), F.col("peak")), F.col("months")).cast("bigint")
+    return found.filter("months > 0").select(
+        *by, "peak", "months", ratio(F.col("detected"), F.col("months")).alias("recall"), lag.alias("lag"),
+        "mean_p", "max_p", "mean_before", "false_before", "false_after",
+    )

@@ -108,7 +108,7 @@ def raw_level_guard(panel: DataFrame, bounds: dict[str, tuple[float, float]], va
     rows = [(c, float(a), float(b)) for c, (a, b) in bounds.items()]
     limits = panel.sparkSession.createDataFrame(rows, "code string, least double, most double")
     return (
-        panel.join(F.broadcast(limits), "code")
+        panel.join(small(limits), "code")
         .groupBy("code", "least", "most")
         .agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
         .select("code", "lo", "hi", F.coalesce((F.col("lo") >= F.col("least")) & (F.col("hi") <= F.col("most")), F.lit(True)).alias("ok"))

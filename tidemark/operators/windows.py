@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.operators.sizes import small
 
 
-
 def series() -> WindowSpec:
     """Rows of a series in order of time."""
     return Window.partitionBy("code").orderBy("month_end")
@@ -35,17 +34,17 @@ def delta(x: str, h: int, w: WindowSpec | None = None) -> Column:
     return F.col(x) - F.lag(x, h).over(w or series())
 
 
-def label_runs(rows: DataFrame, y: str, order: str, by: list[str] | None = None) -> DataFrame:
+def label_runs(rows: DataFrame, y: str, order: str, by: list[str]) -> DataFrame:
     """``run``: 1, 2, ... for maximal stretches of equal ``y`` in order of ``order``."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
+    w = Window.partitionBy(*by).orderBy(order)
     change = F.when(F.col(y).eqNullSafe(F.lag(y).over(w)) & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1)
     return rows.withColumn("_change", change).withColumn("run", F.sum("_change").over(w)).drop("_change")
 
 
-def regime_age(rows: DataFrame, y: str, order: str, by: list[str] | None = None) -> DataFrame:
+def regime_age(rows: DataFrame, y: str, order: str, by: list[str]) -> DataFrame:
     """``age``: how many rows the current state has lasted."""
     runs = label_runs(rows, y, order, by)
-    return runs.withColumn("age", F.row_number().over(Window.partitionBy(*(by or []), "run").orderBy(order)))
+    return runs.withColumn("age", F.row_number().over(Window.partitionBy(*by, "run").orderBy(order)))
 
 
 def onset_flag(y: str, w: WindowSpec) -> Column:
@@ -77,13 +76,13 @@ def lagged_weight_return(rows: DataFrame, cost_bps: float = 10.0) -> DataFrame:
     return out.select("month_end", "gross", cost.alias("cost"), (F.col("gross") - cost).alias("net"), "turnover")
 
 
-def circular_shift(rows: DataFrame, shifts: DataFrame, y: str, order: str, by: list[str] | None = None) -> DataFrame:
+def circular_shift(rows: DataFrame, shifts: DataFrame, y: str, order: str, by: list[str]) -> DataFrame:
     """Each of ``shifts`` (shift) with the rows, ``y`` rotated by that many places within a group."""
-    group = Window.partitionBy(*(by or []))
+    group = Window.partitionBy(*by)
     placed = rows.withColumn("_rn", F.row_number().over(group.orderBy(order)) - 1).withColumn("_n", F.count("*").over(group))
     turned = placed.crossJoin(small(shifts)).withColumn("_at", F.pmod(F.col("_rn") + F.col("shift"), F.col("_n")))
-    source = placed.select(*(by or []), F.col("_rn").alias("_at"), F.col(y).alias(f"{y}_shifted"))
-    return turned.join(source, [*(by or []), "_at"]).drop("_rn", "_n", "_at")
+    source = placed.select(*by, F.col("_rn").alias("_at"), F.col(y).alias(f"{y}_shifted"))
+    return turned.join(source, [*by, "_at"]).drop("_rn", "_n", "_at")
 
 
 def average_rank(score: str, by: list[str]) -> Column:

@@ -24,6 +24,12 @@ def one_group(panel: DataFrame) -> DataFrame:
     return panel.crossJoin(F.broadcast(last))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over as many tasks as there are cores: groups are small in bytes but long to fit, and
+    by their bytes adaptive execution would join them into one task."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def as_of_panels(panel: DataFrame, dates: DataFrame, catalogue: DataFrame, columns: list[str]) -> DataFrame:
     """For each as-of date the rows up to it, with what was not yet published as NULL."""
     joined = panel.join(small(catalogue.select("code", "lag_days")), "code", "left")
@@ -120,20 +126,144 @@ def factor_loadings(panels: DataFrame, value: str = "z", k: int = 2, max_iter: i
 
 
 def pca(panels: DataFrame, value: str = "z", k: int = 2) -> DataFrame:
-    """(as_of, code, component, loading): the first principal components of the mean-filled panel."""
+    """(as_of, kind, name, month_end, factor, value): principal components of the mean-filled, scaled panel.
+
+    Rows of kind ``loading`` carry a code as their name, rows of kind ``score`` a
+    month.  A component's sign is arbitrary: see :func:`tidemark.operators.fitted.oriented`.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = _wide(pdf, value)
+        w, as_of = _wide(pdf, value), pdf["as_of"].iloc[0]
+        if len(w) < 2 or not w.shape[1]:
+            return pd.DataFrame([], columns=columns)
         z = (w - w.mean()) / w.std(ddof=0).replace(0, 1.0)
-        _, load = statespace.pca_init(z.to_numpy(float), k)
-        load = load * statespace.signs(load)
-        rows = [(pdf["as_of"].iloc[0], c, j + 1, float(load[i, j])) for i, c in enumerate(w.columns) for j in range(load.shape[1])]
-        return pd.DataFrame(rows, columns=["as_of", "code", "component", "loading"])
+        score, load = statespace.pca_init(z.to_numpy(float), k)
+        rows = [(as_of, "loading", c, None, f"factor_{j + 1}", float(load[i, j])) for i, c in enumerate(w.columns) for j in range(load.shape[1])]
+        rows += [(as_of, "score", None, m, f"factor_{j + 1}", float(score[i, j])) for i, m in enumerate(w.index) for j in range(load.shape[1])]
+        return pd.DataFrame(rows, columns=columns)
 
-    schema = "as_of date, code string, component int, loading double"
+    columns = ["as_of", "kind", "name", "month_end", "factor", "value"]
+    schema = "as_of date, kind string, name string, month_end date, factor string, value double"
     return panels.select("as_of", "code", "month_end", value).groupBy("as_of").applyInPandas(run, schema)
 
 
+def loadings_of(parts: DataFrame) -> DataFrame:
+    return parts.filter("kind = 'loading'").select("as_of", F.col("name").alias("code"), "factor", F.col("value").alias("loading"))
+
+
+def scores_of(parts: DataFrame) -> DataFrame:
+    return parts.filter("kind = 'score'").select("as_of", "month_end", "factor", F.col("value").alias("score"))
+
+
+def named_factors(loadings: DataFrame, anchors: dict[str, list[str]]) -> DataFrame:
+    """(as_of, factor, name, quality): names by anchors, and how well loadings bear them out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = pdf.pivot(index="code", columns="factor", values="loading").sort_index().sort_index(axis=1)
+        names, quality = statespace.name_factors(w.to_numpy(float), list(w.index), anchors)
+        return pd.DataFrame({"as_of": pdf["as_of"].iloc[0], "factor": list(w.columns), "name": names, "quality": quality})
+
+    return loadings.groupBy("as_of").applyInPandas(run, "as_of date, factor string, name string, quality double")
+
+
+def regime_probabilities(rows: DataFrame, ranked: DataFrame, value: str) -> DataFrame:
+    """(code, month_end, regime_rank, p, p_smoothed) of each code under its ranked regimes (mean, var, to_low, to_high)."""
+
+    def run(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        own, model = own.dropna(subset=[value]).sort_values("month_end"), model.sort_values("regime_rank")
+        if not len(own) or not len(model):
+            return pd.DataFrame([], columns=columns)
+        k = len(model)
+        fitted = regimes.RegimeModel(
+            model["mean"].to_numpy(float)[:, None], model["var"].to_numpy(float)[:, None, None], model[["to_low", "to_high"]].to_numpy(float)[:, :k], 0.0, 0, False
+        )
+        f, s = fitted.filter(own[value].to_numpy(float))
+        out = [
+            pd.DataFrame({"code": own["code"], "month_end": own["month_end"], "regime_rank": j + 1, "p": f[:, j], "p_smoothed": s[:, j]}) for j in range(k)
+        ]
+        return pd.concat(out)[columns]
+
+    columns = ["code", "month_end", "regime_rank", "p", "p_smoothed"]
+    schema = "code string, month_end date, regime_rank int, p double, p_smoothed double"
+    left = rows.select("code", "month_end", value).groupBy("code")
+    return left.cogroup(ranked.select("code", "regime_rank", "mean", "var", "to_low", "to_high").groupBy("code")).applyInPandas(run, schema)
+
+
+def fitted_parameters(panels: DataFrame, value: str = "z", k: int = 2, max_iter: int = 200) -> DataFrame:
+    """(as_of, model, part, i, j, name, value): every parameter of a factor model and of the regimes of its first factor.
+
+    Matrices have a row for each entry; what belongs to a series carries its code.
+    :func:`score_stored` needs nothing else.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, as_of = _wide(pdf, value), pdf["as_of"].iloc[0]
+        model, f, _ = statespace.fit_factors(w.to_numpy(float), k, (), max_iter)
+        found = regimes.fit_regimes(f[:, 0], 2)
+        rows = []
+
+        def add(kind: str, part: str, x, names=None) -> None:
+            x = np.atleast_2d(np.asarray(x, float))
+            x = x.T if names is not None and x.shape[0] == 1 else x
+            for i in range(x.shape[0]):
+                for j in range(x.shape[1]):
+                    rows.append((as_of, kind, part, i, j, names[i] if names is not None else None, float(x[i, j])))
+
+        codes = list(w.columns)
+        for part in ("A", "Q", "rotation", "scale_mean", "scale_std"):
+            add("factors", part, getattr(model, part))
+        for part in ("C", "R", "mean", "std", "loadings"):
+            add("factors", part, getattr(model, part), codes)
+        add("factors", "loglik", model.loglik)
+        add("regimes", "means", found.means)
+        add("regimes", "covs", found.covs.reshape(len(found.covs), -1))
+        add("regimes", "P", found.P)
+        return pd.DataFrame(rows, columns=["as_of", "model", "part", "i", "j", "name", "value"])
+
+    schema = "as_of date, model string, part string, i int, j int, name string, value double"
+    return panels.select("as_of", "code", "month_end", value).groupBy("as_of").applyInPandas(run, schema)
+
+
+def score_stored(panels: DataFrame, parameters: DataFrame, value: str = "z") -> DataFrame:
+    """(as_of, month_end, factor, score, p_first) of new rows under stored parameters.
+
+    ``p_first`` is the filtered probability of the lowest regime, on rows of the
+    first factor.  Codes that the model does not know are left out, those missing
+    here are unobserved.
+    """
+
+    def run(own: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(stored):
+            return pd.DataFrame([], columns=columns)
+
+        def part(kind: str, name: str) -> np.ndarray:
+            x = stored[(stored["model"] == kind) & (stored["part"] == name)]
+            return x.pivot(index="i", columns="j", values="value").to_numpy(float)
+
+        C = stored[(stored["part"] == "C") & (stored["j"] == 0)].sort_values("i")
+        w = own.pivot_table(index="month_end", columns="code", values=value, aggfunc="last", dropna=False).sort_index().reindex(columns=C["name"])
+        w = w.dropna(how="all")
+        k = len(part("factors", "rotation"))
+        model = statespace.FactorModel(
+            part("factors", "A"), part("factors", "C"), part("factors", "Q"), part("factors", "R")[:, 0], part("factors", "mean")[:, 0], part("factors", "std")[:, 0],
+            part("factors", "rotation"), k, part("factors", "loadings"), part("factors", "scale_mean")[0], part("factors", "scale_std")[0], 0.0, 0, "stored",
+        )
+        score = model.transform(w.to_numpy(float))
+        means = part("regimes", "means")
+        found = regimes.RegimeModel(means, part("regimes", "covs").reshape(len(means), means.shape[1], -1), part("regimes", "P"), 0.0, 0, False)
+        p, _ = found.filter(score[:, 0])
+        out = [
+            pd.DataFrame({"as_of": own["as_of"].iloc[0], "month_end": w.index, "factor": f"factor_{j + 1}", "score": score[:, j], "p_first": p[:, 0] if j == 0 else np.nan})
+            for j in range(k)
+        ]
+        return pd.concat(out)[columns]
+
+    columns = ["as_of", "month_end", "factor", "score", "p_first"]
+    schema = "as_of date, month_end date, factor string, score double, p_first double"
+    left = panels.select("as_of", "code", "month_end", value).groupBy("as_of")
+    return left.cogroup(parameters.groupBy("as_of")).applyInPandas(run, schema)
+
+
 def state_identity(panels: DataFrame, value: str = "z", k: int = 2, max_iter: int = 30) -> DataFrame:
     """(as_of, i, j, value): the cross-product of the state's loadings, the identity after identification."""
 
@@ -313,12 +443,13 @@ def bootstrap_metric(
         return pd.DataFrame(out, columns=[by, "draw", "value"])
 
     tasks = rows.sparkSession.range(-(-draws // per_task)).select(F.col("id").cast("int").alias("task"))
-    spread = rows.select(by, "month_end", "y", *scores).crossJoin(F.broadcast(tasks))
+    # A row for each task of draws: ``draws / per_task`` copies, 20 of them by default.
+    dealt = spread(rows.select(by, "month_end", "y", *scores).crossJoin(F.broadcast(tasks)), by, "task")
     schema = f"`{by}` {dict(rows.dtypes)[by]}, draw int, value double"
-    return spread.groupBy(by, "task").applyInPandas(run, schema)
+    return dealt.groupBy(by, "task").applyInPandas(run, schema)
 
 
-def null_ic(rows: DataFrame, by: str, x: str, y: str, draws: int = 200, seed: int = 0) -> DataFrame:
+def null_ic(rows: DataFrame, by: str, x: str, y: str, draws: int = 2000, seed: int = 0) -> DataFrame:
     """(by, observed, share): the correlation and the share of circular shifts of y that reach it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

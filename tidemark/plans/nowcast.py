@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.kernels import regimes, regression, statespace
 from tidemark.operators.joins import interval_labels_asof
 from tidemark.operators.sizes import small
-from tidemark.plans.models import _clean, _wide, as_of_panels
+from tidemark.plans.models import _clean, _wide, as_of_panels, spread
 
 DELTAS = (1, 3, 6)
 SIGNALS = ("rsm", "probit", "cfnai", "sahm")
@@ -62,7 +62,7 @@ def _one(pdf: pd.DataFrame, k: int, max_iter: int, weights: dict[str, float], kn
             age = 1
             while age < len(state) and state[-1 - age] == state[-1]:
                 age += 1
-            stay, duration, first = regimes.transition_features(rsm.P, state[-1], len(f))
+            stay, duration, first = regimes.transition_features(rsm.P, len(rsm.P) - 1, len(f))
             labels = kinds["y"].groupby("month_end")["value"].max().reindex(w.index)
             known = labels.notna().to_numpy()
             probit = regression.probit_fit(f[known], labels[known].to_numpy(float), 1.0)
@@ -114,7 +114,7 @@ def nowcasts(
         parts = parts.union(part(published(signals), "signal", "value", "code"))
     if growth is not None:
         parts = parts.union(part(published(growth), "gdp", "value"))
-    return parts.groupBy("as_of").applyInPandas(lambda pdf: _one(pdf, k, max_iter, shares, knowable_days), schema(k))
+    return spread(parts, "as_of").groupBy("as_of").applyInPandas(lambda pdf: _one(pdf, k, max_iter, shares, knowable_days), schema(k))
 
 
 def failures(panel: DataFrame, most: float = 0.05) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates
-from tidemark.operators import metrics, windows
-from tidemark.plans import models
+from tidemark.operators import fitted, joins, metrics, windows
+from tidemark.operators.sizes import small
+from tidemark.plans import models, nowcast
 from tidemark.queries import fixtures as fx
 from tidemark.queries.fixtures import r6, s6, with_
 from tidemark.queries.relational import _PORT, _UP
@@ -74,12 +75,16 @@ def reliability_bins(spark, sf):
     return out.select("bin", "n", r6("mean_p").alias("mean_p"), r6("rate").alias("rate"))
 
 
-@Q(SCORED + f"SELECT peak, signal, count(*) FILTER (p IS NOT NULL) AS months, {s6('avg((p > 0.5)::INT)')} AS recall, {s6('avg(p)')} AS mean_p, {s6('max(p)')} AS max_p FROM scored JOIN spans ON month_end BETWEEN peak AND trough GROUP BY ALL")
+_NEAR = "near AS (SELECT signal, peak, trough, month_end, y, p, (p > 0.5)::INT AS pred FROM scored JOIN spans ON month_end >= peak - INTERVAL 6 MONTH AND month_end <= trough + INTERVAL 6 MONTH WHERE p IS NOT NULL)"
+_TOLD = "told AS (SELECT signal, peak, count(*) FILTER (y = 1) AS months, count(*) FILTER (y = 1 AND pred = 1) AS detected, min(month_end) FILTER (y = 1 AND pred = 1) AS first, avg(p) FILTER (y = 1) AS mean_p, max(p) FILTER (y = 1) AS max_p, avg(p) FILTER (month_end < peak AND y = 0) AS mean_before, count(*) FILTER (month_end < peak AND y = 0 AND pred = 1) AS false_before, count(*) FILTER (month_end > trough AND y = 0 AND pred = 1) AS false_after FROM near GROUP BY ALL)"
+
+
+@Q(SCORED + f", {_NEAR}, {_TOLD} SELECT signal, peak, months, {s6('detected / months')} AS recall, coalesce((year(first) - year(peak)) * 12 + month(first) - month(peak), months) AS lag, {s6('mean_p')} AS mean_p, {s6('max_p')} AS max_p, {s6('mean_before')} AS mean_before, false_before, false_after FROM told WHERE months > 0")
 def episode_breakdown(spark, sf):
-    rows = fx.scored(spark, sf).join(F.broadcast(fx.spans(spark)), F.col("month_end").between(F.col("peak"), F.col("trough")))
-    return rows.groupBy("peak", "signal").agg(
-        F.count("p").alias("months"), r6(F.avg((F.col("p") > 0.5).cast("double"))).alias("recall"), r6(F.avg("p")).alias("mean_p"), r6(F.max("p")).alias("max_p")
-    )
+    """Recall, lag, probabilities and the false alarms around each span, by signal."""
+    out = metrics.episode_breakdown(predicted(spark, sf), fx.spans(spark), ["signal"])
+    rounded = [r6(c).alias(c) if c in ("recall", "mean_p", "max_p", "mean_before") else c for c in out.columns]
+    return out.select(*rounded)
 
 
 @Q(SCORED + f"SELECT signal, {s6('coalesce(arg_max(p, month_end) FILTER (p IS NOT NULL), 0.5)')} AS latest, max(month_end) FILTER (p IS NOT NULL) AS observed_at FROM signals GROUP BY signal")
@@ -98,7 +103,7 @@ def _weights(spark):
 @Q(SCORED + ", " + _WEIGHT + " SELECT min(observed_at) AS as_of FROM (SELECT signal, max(month_end) FILTER (p IS NOT NULL) AS observed_at FROM signals GROUP BY signal) JOIN wt USING (signal) WHERE weight > 0")
 def staleness_min(spark, sf):
     out = metrics.latest_published(fx.signals(spark, sf), ["signal"], "p")
-    return out.join(F.broadcast(_weights(spark)), "signal").agg(F.min(F.when(F.col("weight") > 0, F.col("observed_at"))).alias("as_of"))
+    return out.join(small(_weights(spark)), "signal").agg(F.min(F.when(F.col("weight") > 0, F.col("observed_at"))).alias("as_of"))
 
 
 _BLEND = "blend AS (SELECT month_end, least(greatest(sum(coalesce(weight, 0) * coalesce(p, 0.5)), 0), 1) AS p FROM signals LEFT JOIN wt USING (signal) GROUP BY month_end)"
@@ -184,28 +189,29 @@ def distinct_count(spark, sf):
     return fx.obs(spark, sf).groupBy("code").agg(n.alias("days"), (n < 2).alias("constant"))
 
 
-@Q("SELECT event_type AS state, next AS to_state, " + s6("n / sum(n) OVER (PARTITION BY event_type)") + " AS p FROM (SELECT event_type, next, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL GROUP BY ALL)")
-def transition_matrix(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = fx.table(spark, sf, "events").select(F.col("event_type").alias("state"), F.lead("event_type").over(w).alias("to_state"))
-    n = e.filter("to_state IS NOT NULL").groupBy("state", "to_state").agg(F.count("*").alias("n"))
-    return n.select("state", "to_state", r6(F.col("n") / F.sum("n").over(Window.partitionBy("state"))).alias("p"))
+_MOVES = "moves AS (SELECT code, regime_rank AS from_rank, 1 AS to_rank, to_low AS p FROM ranked UNION ALL SELECT code, regime_rank, 2, to_high FROM ranked)"
+_RANKED = with_(fx.REGIMES.split(",\nfw AS")[0])
 
 
-_STAY = "SELECT event_type AS state, avg((next = event_type)::INT) AS p FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL GROUP BY ALL"
+@Q(_RANKED + f", {_MOVES} SELECT code, from_rank, to_rank::INT AS to_rank, {s6('p')} AS p FROM moves")
+def transition_matrix(spark, sf):
+    """Transition probabilities of every series' regimes, in the order of their means."""
+    return fitted.transition_rows(fx.ranked_regimes(spark, sf)).select("code", "from_rank", "to_rank", r6("p").alias("p"))
 
 
-@Q(f"SELECT state, {s6('p')} AS stay, {s6('least(1 / (1 - p), 100)')} AS duration FROM ({_STAY})")
+@Q(_RANKED + f", t AS (SELECT code, max(to_low) FILTER (regime_rank = 1) AS stay, max(to_low) FILTER (regime_rank = 2) AS enter, sum(n) AS n FROM ranked GROUP BY code) SELECT code, {s6('stay')} AS stay, {s6('CASE WHEN stay < 1 THEN least(1 / (1 - stay), n) ELSE n END')} AS duration, {s6('enter')} AS enter FROM t")
 def transition_features(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = fx.table(spark, sf, "events").select(F.col("event_type").alias("state"), F.lead("event_type").over(w).alias("nxt")).filter("nxt IS NOT NULL")
-    stay = e.groupBy("state").agg(F.avg((F.col("nxt") == F.col("state")).cast("double")).alias("p"))
-    return stay.select("state", r6("p").alias("stay"), r6(F.least(1 / (1 - F.col("p")), F.lit(100.0))).alias("duration"))
+    """Persistence and expected duration (at most the sample) of the lowest regime, and the chance to enter it from the highest."""
+    ranked = fx.ranked_regimes(spark, sf)
+    months = ranked.groupBy("code").agg(F.sum("n").alias("n"))
+    out = fitted.transition_features(fitted.transition_rows(ranked), months)
+    return out.select("code", r6("stay").alias("stay"), r6("duration").alias("duration"), r6("enter").alias("enter"))
 
 
-@Q(SCORED + f"SELECT signal, month_end, {s6('p')} AS p FROM signals WHERE signal = 'probit'")
+@Q(fx.recursive(fx.REGIMES) + f"SELECT d.code, month_end, {s6('f')} AS p FROM fw JOIN dens d ON d.code = fw.code AND d.t = fw.t")
 def recession_prob(spark, sf):
-    return fx.signals(spark, sf).filter("signal = 'probit'").select("signal", "month_end", r6("p").alias("p"))
+    """The filtered probability of the lowest regime, by position."""
+    return fx.regime_paths(spark, sf).filter("regime_rank = 1").select("code", "month_end", r6("p").alias("p"))
 
 
 # --- folds ---------------------------------------------------------------
@@ -213,30 +219,31 @@ _ROWS = "rows AS (SELECT row_number() OVER (ORDER BY month_end) - 1 AS rn, count
 _EDGES = "edges AS (SELECT f AS fold, (greatest(40, n // 6) * 5 + f * (n - greatest(40, n // 6))) // 5 AS lo, (greatest(40, n // 6) * 5 + (f + 1) * (n - greatest(40, n // 6))) // 5 AS hi FROM (SELECT DISTINCT n FROM rows), (SELECT unnest(range(5)) AS f))"
 
 
-def _folds(spark, sf, horizon, embargo):
+def _base_folds(spark, sf, expanding):
     months = fx.monthly(spark, sf).select("month_end").distinct()
     rows = months.select((F.row_number().over(Window.orderBy("month_end")) - 1).cast("bigint").alias("rn"))
-    edges = metrics.fold_edges(spark, rows.count(), 5, 40)
-    return metrics.purged_folds(rows, edges, horizon, embargo)
+    return metrics.folds(rows, metrics.fold_edges(spark, rows.count(), 5, 40), expanding=expanding)
 
 
-def _fold_sql(meets: str, held: str) -> str:
-    return with_(fx.MONTHLY, _ROWS, _EDGES) + f"SELECT fold::INT AS fold, rn, CASE WHEN rn >= lo AND rn < hi THEN 'test' ELSE 'train' END AS role FROM rows, edges WHERE (rn >= lo AND rn < hi) OR (rn < lo AND NOT ({meets}) AND NOT ({held}))"
+def _fold_sql(train: str, meets: str, held: str) -> str:
+    return with_(fx.MONTHLY, _ROWS, _EDGES) + f"SELECT fold::INT AS fold, rn, CASE WHEN rn >= lo AND rn < hi THEN 'test' ELSE 'train' END AS role FROM rows, edges WHERE (rn >= lo AND rn < hi) OR (({train}) AND NOT ({meets}) AND NOT ({held}))"
 
 
-@Q(_fold_sql("rn + 3 >= lo AND rn <= hi - 1 + 3", "FALSE"))
+@Q(_fold_sql("rn < lo OR rn >= hi", "rn + 3 >= lo AND rn <= hi - 1 + 3", "FALSE"))
 def purge(spark, sf):
-    return _folds(spark, sf, 3, 0)
+    """Training rows on both sides of each test block, without those whose labels overlap its labels."""
+    return metrics.purge(_base_folds(spark, sf, False), 3)
 
 
-@Q(_fold_sql("FALSE", "rn >= hi AND rn < hi + 4"))
+@Q(_fold_sql("rn < lo OR rn >= hi", "FALSE", "rn >= hi AND rn < hi + 4"))
 def embargo(spark, sf):
-    return _folds(spark, sf, 0, 4)
+    """Training rows on both sides of each test block, without the four right after it."""
+    return metrics.embargo(_base_folds(spark, sf, False), 4)
 
 
-@Q(_fold_sql("rn + 1 >= lo AND rn <= hi - 1 + 1", "rn >= hi AND rn < hi + 2"))
+@Q(_fold_sql("rn < lo", "rn + 1 >= lo AND rn <= hi - 1 + 1", "rn >= hi AND rn < hi + 2"))
 def purged_walk_forward(spark, sf):
-    return _folds(spark, sf, 1, 2)
+    return metrics.embargo(metrics.purge(_base_folds(spark, sf, True), 1), 2)
 
 
 _HORIZON = ", h AS (SELECT signal, horizon, p, lead(y, horizon) OVER (PARTITION BY signal, horizon ORDER BY month_end) AS y FROM scored, (VALUES (0), (3), (6)) v(horizon)), "
@@ -297,7 +304,7 @@ def cfnai_baseline(spark, sf):
     th = spark.range(25).select(F.round(F.col("id") * 0.1 - 2, 1).alias("thr"))
     rows = fx.panel(spark, sf).filter("code = '2-HIGH' AND z IS NOT NULL").join(fx.labels(spark, sf), "month_end")
     # 25 thresholds against a series' months.
-    k = rows.crossJoin(F.broadcast(th)).withColumn("pred", (F.col("z") < F.col("thr")).cast("int"))
+    k = rows.crossJoin(small(th)).withColumn("pred", (F.col("z") < F.col("thr")).cast("int"))
     best = metrics.confusion(k, ["thr"]).orderBy(F.desc("f1"), "thr").limit(1)
     return best.select(r6("thr").alias("threshold"), r6("f1").alias("f1"))
 
@@ -315,23 +322,39 @@ def assert_point_in_time(spark, sf):
     return both.agg(r6(F.max(gap)).alias("worst"), F.count("*").alias("n"))
 
 
-@Q(with_(fx.MONTHLY) + f"SELECT {s6('avg((value < 1000)::INT)')} AS failed, avg((value < 1000)::INT) > 0.05 AS over_budget FROM monthly WHERE value IS NOT NULL")
+_SEEN = "seen AS (SELECT as_of, code, p.month_end FROM (SELECT DISTINCT month_end AS as_of FROM monthly) JOIN panel p ON p.month_end <= as_of AND p.month_end + p.lag_days <= as_of WHERE z IS NOT NULL)"
+_USABLE = "held AS (SELECT as_of, count(DISTINCT month_end) AS months FROM seen GROUP BY as_of), full_codes AS (SELECT as_of, count(*) AS codes FROM (SELECT as_of, code, count(*) AS n FROM seen GROUP BY ALL) JOIN held USING (as_of) WHERE n * 2 >= months GROUP BY as_of), fits AS (SELECT coalesce(months, 0) < 24 OR coalesce(codes, 0) < 2 AS bad FROM (SELECT DISTINCT month_end AS as_of FROM monthly) LEFT JOIN held USING (as_of) LEFT JOIN full_codes USING (as_of))"
+
+
+@Q(with_(fx.PANEL, _SEEN, _USABLE) + f"SELECT count(*) AS n, {s6('avg(bad::INT)')} AS failed, avg(bad::INT) > 0.05 AS over_budget FROM fits")
 def failure_budget(spark, sf):
-    bad = F.avg((F.col("value") < 1000).cast("double"))
-    return fx.monthly(spark, sf).filter("value IS NOT NULL").agg(r6(bad).alias("failed"), (bad > 0.05).alias("over_budget"))
+    """The share of as-of dates, from the first month on, whose nowcast failed: the early ones have too few months."""
+    months = fx.monthly(spark, sf).select(F.col("month_end").alias("as_of")).distinct()
+    rows = fx.panel(spark, sf).select("code", "month_end", "z", F.lit(None).cast("int").alias("y"))
+    found = nowcast.nowcasts(rows, months, fx.catalogue(spark), k=1, max_iter=2)
+    return nowcast.failures(found).select("n", r6("failed").alias("failed"), "over_budget")
 
 
-_SPF = "spf AS (SELECT signal, month_end, 0.5 * p + 0.5 * (SELECT 0.2) AS blend, p, y FROM scored WHERE signal = 'probit' AND p IS NOT NULL)"
+_SURVEY = "survey AS (SELECT lag_days, (date_trunc('quarter', month_end)::DATE + lag_days) AS known, avg(p) AS r FROM scored, (VALUES (45), (90), (120)) v(lag_days) WHERE signal = 'sahm' AND p IS NOT NULL GROUP BY ALL)"
+_ENSEMBLE = "wt(signal, weight) AS (VALUES ('probit', 0.5), ('cfnai', 0.3), ('rsm', 0.2)), ens AS (SELECT month_end, least(greatest(sum(coalesce(weight, 0) * coalesce(p, 0.5)), 0), 1) AS e FROM signals LEFT JOIN wt USING (signal) GROUP BY month_end)"
+_THREE = "known_at AS (SELECT lag_days, l.month_end, l.y, e, (SELECT max_by(r, known) FROM survey s WHERE s.lag_days = v.lag_days AND s.known <= l.month_end) AS r FROM labels l JOIN ens USING (month_end), (VALUES (45), (90), (120)) v(lag_days)), three AS (SELECT lag_days, y, unnest(['ensemble', 'survey', 'blend']) AS signal, unnest([e, r, 0.5 * e + 0.5 * r]) AS p FROM known_at WHERE r IS NOT NULL)"
 
 
-@Q(SCORED + ", " + _SPF + f" SELECT {s6('avg((p - y) ** 2)')} AS brier_signal, {s6('avg((0.2 - y) ** 2)')} AS brier_survey, {s6('avg((blend - y) ** 2)')} AS brier_blend FROM spf")
+@Q(SCORED + f", {_SURVEY}, {_ENSEMBLE}, {_THREE}, " + _AUC.format(t="three", by="lag_days, signal") + f" SELECT lag_days::INT AS lag_days, signal, {s6(_AUC_VALUE)} AS auc, {s6('avg((p - y) ** 2)')} AS brier, count(*) AS months FROM ranked GROUP BY ALL")
 def spf_benchmark(spark, sf):
-    """A signal, a survey that says 0.2 throughout, and their even blend on the same months."""
-    rows = fx.scored(spark, sf).filter("signal = 'probit' AND p IS NOT NULL").withColumn("survey", F.lit(0.2))
-    rows = rows.withColumn("blend", 0.5 * F.col("p") + 0.5 * F.col("survey"))
-    return rows.agg(
-        r6(metrics.brier(p="p")).alias("brier_signal"), r6(metrics.brier(p="survey")).alias("brier_survey"), r6(metrics.brier(p="blend")).alias("brier_blend")
-    )
+    """A quarterly survey, the ensemble and their even blend, as of every month, when surveys are known 45, 90 or 120 days into their quarter."""
+    lags = small(spark.createDataFrame([(45,), (90,), (120,)], "lag_days int"))
+    quarter = F.trunc("month_end", "quarter").alias("quarter")
+    answers = fx.signals(spark, sf).filter("signal = 'sahm' AND p IS NOT NULL").groupBy(quarter).agg(F.avg("p").alias("survey"))
+    facts = answers.crossJoin(lags).select("lag_days", F.expr("date_add(quarter, lag_days)").alias("known"), "survey")
+    labels = fx.labels(spark, sf)
+    at = joins.asof_backward(labels.select("month_end").crossJoin(lags), facts, by=["lag_days"], t="month_end", ts="known", value="survey")
+    ensemble = metrics.weighted_blend(fx.signals(spark, sf), _weights(spark)).withColumnRenamed("p", "ensemble")
+    rows = at.filter("survey IS NOT NULL").join(ensemble, "month_end").join(labels, "month_end")
+    three = rows.withColumn("blend", 0.5 * F.col("ensemble") + 0.5 * F.col("survey")).unpivot(["lag_days", "month_end", "y"], ["ensemble", "survey", "blend"], "signal", "p")
+    by = ["lag_days", "signal"]
+    scored = three.groupBy(*by).agg(metrics.brier().alias("brier"), F.count("*").alias("months"))
+    return metrics.roc_auc(three, by).join(scored, by).select(*by, r6("auc").alias("auc"), r6("brier").alias("brier"), "months")
 
 
 @Q(with_(fx.MONTHLY) + f"SELECT count(*) AS n, min(month_end) AS first, max(month_end) AS last, median(gap)::DOUBLE AS spacing, median(gap) > 45 AS coarse FROM (SELECT month_end, month_end - lag(month_end) OVER (ORDER BY month_end) AS gap FROM (SELECT DISTINCT month_end FROM monthly))")
@@ -384,7 +407,7 @@ def horizon_weights(spark, sf):
     t = spark.createDataFrame([(0, 0.5, 0), (3, 0.4, 1), (6, 0.3, 2), (12, 0.1, 3)], "h int, w double, pos int")
     asked = spark.createDataFrame([(0,), (4,), (9,), (30,)], "asked int")
     best = F.min_by(F.struct("h", "w"), F.struct(F.abs(F.col("h") - F.col("asked")), "pos"))
-    return asked.crossJoin(F.broadcast(t)).groupBy("asked").agg(best.alias("b")).select("asked", F.col("b.h").alias("horizon"), F.col("b.w").alias("w"))
+    return asked.crossJoin(small(t)).groupBy("asked").agg(best.alias("b")).select("asked", F.col("b.h").alias("horizon"), F.col("b.w").alias("w"))
 
 
 # --- calendars -----------------------------------------------------------

@@ -94,6 +94,29 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return signals(spark, sf).join(labels(spark, sf), "month_end")
 
 
+def components(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Loadings under the sign convention and scores (before it) of the panel's first two principal components."""
+    from tidemark.operators import fitted
+    from tidemark.plans import models
+
+    parts = models.pca(models.one_group(panel(spark, sf).select("code", "month_end", "z")))
+    return fitted.oriented(models.loadings_of(parts)), models.scores_of(parts)
+
+
+def ranked_regimes(spark: SparkSession, sf: str) -> DataFrame:
+    """(code, regime, mean, var, n, to_low, to_high, regime_rank) of every series' z-scores."""
+    from tidemark.operators import fitted
+
+    return fitted.rank_regimes(fitted.split_regimes(panel(spark, sf), "z"))
+
+
+def regime_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """(code, month_end, regime_rank, p, p_smoothed)."""
+    from tidemark.plans import models
+
+    return models.regime_probabilities(panel(spark, sf), ranked_regimes(spark, sf), "z")
+
+
 def returns(spark: SparkSession, sf: str) -> DataFrame:
     """(month_end, asset, r): damped symmetric changes of four series."""
     names = F.create_map(*[F.lit(x) for kv in ASSETS.items() for x in kv])
@@ -156,9 +179,72 @@ weights AS (SELECT *, CASE WHEN quarter(month_end) % 2 = 0
   ELSE CASE asset WHEN 'equities' THEN 0.15 WHEN 'bonds' THEN 0.5 WHEN 'commodities' THEN 0.05 ELSE 0.3 END END::DOUBLE AS w FROM returns)"""
 
 
+#: Squarings of a matrix, after which one eigenvector is all that is left of it.
+SQUARINGS = 26
+
+
+def _leading(name: str, start: str) -> str:
+    """The leading eigenvector (code, l) of the matrix ``start`` (i, j, v) as the table ``name``."""
+    out = [f"{name}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {start} WHERE i = j) AS v FROM {start})"]
+    for n in range(1, SQUARINGS + 1):
+        q = f"{name}_{n - 1}"
+        out.append(
+            f"{name}_{n} AS MATERIALIZED (SELECT i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v FROM "
+            f"(SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {q} a JOIN {q} b ON a.j = b.i GROUP BY ALL))"
+        )
+    q = f"{name}_{SQUARINGS}"
+    at = f"(SELECT arg_max(i, v) FROM {q} WHERE i = j)"
+    out.append(f"{name} AS MATERIALIZED (SELECT i AS code, v / sqrt((SELECT max(v) FROM {q} WHERE i = j)) AS l FROM {q} WHERE j = {at})")
+    return ",\n".join(out)
+
+
+# Two principal components of the scaled panel: loadings (factor, code, l) under the sign convention, scores (factor, month_end, s).
+FACTORS = PANEL + """,
+zmonths AS (SELECT DISTINCT month_end FROM panel WHERE z IS NOT NULL),
+zs AS MATERIALIZED (SELECT code, month_end, coalesce((z - avg(z) OVER (PARTITION BY code)) / nullif(stddev_pop(z) OVER (PARTITION BY code), 0), 0) AS v
+  FROM zmonths CROSS JOIN (SELECT DISTINCT code FROM panel) LEFT JOIN panel USING (code, month_end)),
+cov1 AS MATERIALIZED (SELECT a.code AS i, b.code AS j, sum(a.v * b.v) AS v FROM zs a JOIN zs b USING (month_end) GROUP BY ALL),
+""" + _leading("one", "cov1") + """,
+lambda1 AS (SELECT sum(x.l * v * y.l) AS l FROM cov1 JOIN one x ON i = x.code JOIN one y ON j = y.code),
+cov2 AS MATERIALIZED (SELECT i, j, v - (SELECT l FROM lambda1) * x.l * y.l AS v FROM cov1 JOIN one x ON i = x.code JOIN one y ON j = y.code),
+""" + _leading("two", "cov2") + """,
+unsigned AS (SELECT 'factor_1' AS factor, code, l FROM one UNION ALL SELECT 'factor_2', code, l FROM two),
+turn AS (SELECT factor, CASE WHEN (CASE WHEN abs(sum(l)) > 1e-8 THEN sum(l) ELSE arg_max(l, abs(l)) END) < 0 THEN -1 ELSE 1 END AS side FROM unsigned GROUP BY factor),
+loadings AS MATERIALIZED (SELECT factor, code, l * side AS l FROM unsigned JOIN turn USING (factor)),
+scores AS (SELECT factor, month_end, sum(v * l) AS s FROM zs JOIN loadings USING (code) GROUP BY ALL),
+strengths AS (SELECT factor, v * n / sum(v * n) OVER () AS strength FROM (SELECT factor, var_pop(s) AS v FROM scores GROUP BY factor)
+  JOIN (SELECT factor, sum(l * l) AS n FROM loadings GROUP BY factor) USING (factor))"""
+
+# Two regimes of every series: ranked (code, regime, regime_rank, mean, var, to_low, to_high, n) and, by recursion, fw (code, t, pred, f).
+REGIMES = PANEL + """,
+rx AS MATERIALIZED (SELECT code, month_end, z AS x, row_number() OVER (PARTITION BY code ORDER BY month_end) AS t FROM panel WHERE z IS NOT NULL),
+rside AS (SELECT *, x > (SELECT quantile_cont(x, 0.5) FROM rx m WHERE m.code = rx.code) AS high FROM rx),
+rnext AS (SELECT *, lead(high) OVER (PARTITION BY code ORDER BY t) AS nxt FROM rside),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY code ORDER BY mean, regime)::INT AS regime_rank FROM (
+  SELECT code, CASE WHEN high THEN 'above' ELSE 'below' END AS regime, avg(x) AS mean, greatest(var_pop(x), 1e-4) AS var, count(*) AS n,
+  (count(*) FILTER (NOT nxt) + 1) / (count(nxt) + 2) AS to_low, (count(*) FILTER (nxt) + 1) / (count(nxt) + 2) AS to_high FROM rnext GROUP BY code, high)),
+rm AS MATERIALIZED (SELECT a.code, a.mean AS m1, a.var AS v1, a.to_low AS p11, a.to_high AS p12, b.mean AS m2, b.var AS v2, b.to_low AS p21, b.to_high AS p22
+  FROM ranked a JOIN ranked b USING (code) WHERE a.regime_rank = 1 AND b.regime_rank = 2),
+dens AS MATERIALIZED (SELECT rx.code, month_end, t, p11, p12, p21, p22, exp(-0.5 * (x - m1) ** 2 / v1) / sqrt(v1) AS e1, exp(-0.5 * (x - m2) ** 2 / v2) / sqrt(v2) AS e2
+  FROM rx JOIN rm ON rx.code = rm.code),
+fw AS (SELECT code, t, 0.5::DOUBLE AS pred, e1 / (e1 + e2) AS f FROM dens WHERE t = 1
+  UNION ALL SELECT code, t, pr, pr * e1 / greatest(pr * e1 + (1 - pr) * e2, 1e-300) FROM (
+    SELECT d.code, d.t, d.e1, d.e2, fw.f * d.p11 + (1 - fw.f) * d.p21 AS pr FROM fw JOIN dens d ON d.code = fw.code AND d.t = fw.t + 1))"""
+SMOOTHED = REGIMES + """,
+fws AS MATERIALIZED (SELECT * FROM fw),
+bw AS (SELECT code, t, f AS s FROM fws WHERE (code, t) IN (SELECT code, max(t) FROM fws GROUP BY code)
+  UNION ALL SELECT code, t, a / greatest(a + b, 1e-300) FROM (
+    SELECT c.code, c.t, c.f * (d.p11 * bw.s / n.pred + d.p12 * (1 - bw.s) / (1 - n.pred)) AS a, (1 - c.f) * (d.p21 * bw.s / n.pred + d.p22 * (1 - bw.s) / (1 - n.pred)) AS b
+    FROM bw JOIN fws n ON n.code = bw.code AND n.t = bw.t JOIN fws c ON c.code = bw.code AND c.t = bw.t - 1 JOIN dens d ON d.code = bw.code AND d.t = 1))"""
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ", ".join(parts) + " "
 
 
 def s6(x: str, n: int = 6) -> str:
     return f"round(({x})::DOUBLE, {n}) + 0.0"
+
+
+def recursive(*parts: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(parts) + " "

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, metrics, transforms
+from tidemark.operators import align, fitted, metrics, transforms
+from tidemark.operators.sizes import small
 from tidemark.plans import models, nowcast
 from tidemark.queries import fixtures as fx
 from tidemark.queries.evaluation import SCORED
@@ -13,6 +14,9 @@ from tidemark.queries.fixtures import r6, s6, with_
 from tidemark.registry import Registry
 from tidemark.storage import fresh_path
 
+#: Factors and EM steps of the registered fits.
+FACTORS, ITERATIONS = 4, 200
+
 reg = Registry()
 Q = reg.query
 
@@ -88,7 +92,7 @@ def gaussian_density(spark, sf):
 
 @Q()
 def dfm_em(spark, sf):
-    return models.fit_factors(models.one_group(panel(spark, sf)), "z", 2, 40)
+    return models.fit_factors(models.one_group(panel(spark, sf)), "z", FACTORS, ITERATIONS)
 
 
 @Q()
@@ -97,18 +101,18 @@ def mm_cumulator(spark, sf):
     p = panel(spark, sf)
     q = "1-URGENT/F"
     keep = F.when((F.col("code") != q) | (F.month("month_end") % 3 == 0), F.col("z"))
-    return models.fit_factors(models.one_group(p.withColumn("z", keep)), "z", 2, 20, quarterly=(q,))
+    return models.fit_factors(models.one_group(p.withColumn("z", keep)), "z", FACTORS, ITERATIONS, quarterly=(q,))
 
 
 @Q()
 def varimax(spark, sf):
-    return models.factor_loadings(models.one_group(panel(spark, sf)), "z", 2, 30)
+    return models.factor_loadings(models.one_group(panel(spark, sf)), "z", FACTORS, ITERATIONS)
 
 
 @Q()
 def factor_naming(spark, sf):
     anchors = {"urgent": ["1-URGENT/F", "1-URGENT/O"], "low": ["5-LOW/F", "5-LOW/O"]}
-    out = models.fit_factors(models.one_group(panel(spark, sf)), "z", 2, 20, anchors=anchors)
+    out = models.fit_factors(models.one_group(panel(spark, sf)), "z", FACTORS, ITERATIONS, anchors=anchors)
     return out.groupBy("as_of", "factor").agg(F.first("quality").alias("quality"), F.count("*").alias("months"))
 
 
@@ -197,27 +201,35 @@ def paired_bootstrap(spark, sf):
     return metrics.percentile_ci(draws, ["g"], "value")
 
 
-@Q(SCORED + ", l AS (SELECT code AS c, avg(z) AS loading FROM panel GROUP BY code) SELECT CASE WHEN c < '3' THEN 'A' ELSE 'B' END AS factor, CASE WHEN sum(loading) < 0 THEN -1 ELSE 1 END AS sign FROM l GROUP BY 1")
+@Q(with_(fx.FACTORS) + f"SELECT factor, code, {s6('l')} AS loading FROM loadings")
 def sign_convention(spark, sf):
-    l = fx.panel(spark, sf).groupBy("code").agg(F.avg("z").alias("loading"))  # noqa: E741
-    by = F.when(F.col("code") < "3", "A").otherwise("B").alias("factor")
-    return l.groupBy(by).agg(F.when(F.sum("loading") < 0, -1).otherwise(1).alias("sign"))
+    """Loadings of two principal components, each turned so that they sum to a non-negative number."""
+    return fx.components(spark, sf)[0].select("factor", "code", r6("loading").alias("loading"))
 
 
-@Q(with_(fx.PANEL) + f"SELECT code, {s6('var_pop(x) / sum(var_pop(x)) OVER ()')} AS strength, var_pop(x) / sum(var_pop(x)) OVER () < 0.01 AS empty FROM panel GROUP BY code")
+@Q(with_(fx.FACTORS) + f"SELECT factor, {s6('strength')} AS strength, strength < 0.01 AS empty FROM strengths")
 def factor_strength(spark, sf):
-    v = fx.panel(spark, sf).groupBy("code").agg(F.var_pop("x").alias("v"))
-    # One row a factor.
-    share = F.col("v") / F.sum("v").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return v.select("code", r6(share).alias("strength"), (share < 0.01).alias("empty"))
+    loadings, scores = fx.components(spark, sf)
+    return fitted.factor_strengths(scores, loadings).select("factor", r6("strength").alias("strength"), "empty")
+
+
+_NAMED = """sc AS (SELECT factor, avg(abs(l)) FILTER (code IN ('1-URGENT', '2-HIGH')) AS act, avg(abs(l)) FILTER (code = '5-LOW') AS pri, quantile_cont(abs(l), 0.9) AS q FROM loadings GROUP BY factor),
+straight AS (SELECT a.act + b.pri >= a.pri + b.act AS yes FROM sc a, sc b WHERE a.factor = 'factor_1' AND b.factor = 'factor_2'),
+who AS (SELECT *, yes = (factor = 'factor_1') AS is_act FROM sc, straight),
+named AS (SELECT factor, CASE WHEN is_act THEN 'activity' ELSE 'prices' END AS name, CASE WHEN is_act THEN act ELSE pri END / greatest(q, 1e-12) AS quality FROM who),
+k1 AS (SELECT *, name = 'activity' AS k FROM named JOIN strengths USING (factor)),
+k2 AS (SELECT * REPLACE (CASE WHEN bool_or(k AND strength >= 0.01) OVER () THEN k AND strength >= 0.01 ELSE k END AS k) FROM k1),
+k3 AS (SELECT * REPLACE (CASE WHEN bool_or(k AND quality >= 1) OVER () THEN k AND quality >= 1 ELSE k END AS k) FROM k2),
+k4 AS (SELECT *, bool_or(k) OVER () AS any_k FROM k3)"""
 
 
-@Q(with_(fx.PANEL) + ", s AS (SELECT code, stddev_pop(z) AS sd FROM panel GROUP BY code) SELECT code FROM s WHERE sd >= 1.0 OR NOT EXISTS (SELECT 1 FROM s WHERE sd >= 1.0)")
+@Q(with_(fx.FACTORS, _NAMED) + f"SELECT factor, name, {s6('strength')} AS strength, {s6('quality')} AS quality FROM k4 WHERE k OR NOT any_k")
 def rsm_input_select(spark, sf):
-    """Factors with enough evidence; all of them where none has."""
-    s = fx.panel(spark, sf).groupBy("code").agg(F.stddev_pop("z").alias("sd"))
-    flagged = s.withColumn("any", F.max((F.col("sd") >= 1.0).cast("int")).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return flagged.filter("sd >= 1.0 OR any = 0").select("code")
+    """The factors that a regime model is fitted on: by name, not empty, and borne out by their loadings."""
+    loadings, scores = fx.components(spark, sf)
+    named = models.named_factors(loadings, {"activity": ["1-URGENT", "2-HIGH"], "prices": ["5-LOW"]})
+    rows = named.join(fitted.factor_strengths(scores, loadings), ["as_of", "factor"])
+    return fitted.regime_inputs(rows, ["activity"]).select("factor", "name", r6("strength").alias("strength"), r6("quality").alias("quality"))
 
 
 def labelled(spark, sf):
@@ -245,7 +257,8 @@ def gdp_growth(spark, sf):
 
 def _nowcasts(spark, sf, at):
     return nowcast.nowcasts(
-        panel(spark, sf), at, lagged(spark, sf), spans=fx.spans(spark), signals=published_signals(spark, sf), growth=gdp_growth(spark, sf)
+        panel(spark, sf), at, lagged(spark, sf), spans=fx.spans(spark), signals=published_signals(spark, sf), growth=gdp_growth(spark, sf),
+        k=FACTORS, max_iter=ITERATIONS,
     )
 
 
@@ -283,15 +296,19 @@ def backtest_insample(spark, sf):
 
 @Q()
 def sink_model(spark, sf):
-    """Parameters written as a table and read back."""
+    """All parameters of the factors and of their regimes, written, read back and used to score the panel."""
     path = fresh_path(spark, "model")
-    models.factor_loadings(models.one_group(panel(spark, sf)), "z", 2, 15).write.parquet(path)
-    return spark.read.parquet(path)
+    panels = models.one_group(panel(spark, sf))
+    models.fitted_parameters(panels).write.parquet(path)
+    return models.score_stored(panels, spark.read.parquet(path))
 
 
-@Q()
+@Q(with_(fx.FACTORS) + f"SELECT factor, month_end, {s6('s')} AS score FROM scores")
 def pca_init(spark, sf):
-    return models.pca(models.one_group(panel(spark, sf)))
+    """Scores of the first two principal components, turned as their loadings are."""
+    loadings, scores = models.pca(models.one_group(fx.panel(spark, sf).select("code", "month_end", "z"))), None
+    scores = models.scores_of(loadings).join(fitted.factor_signs(models.loadings_of(loadings)), ["as_of", "factor"])
+    return scores.select("factor", "month_end", r6(F.col("score") * F.col("sign")).alias("score"))
 
 
 @Q()
@@ -315,7 +332,7 @@ def factor_transform(spark, sf):
 
 @Q()
 def hmm_em_multivariate(spark, sf):
-    p = fx.panel(spark, sf).filter("code IN ('1-URGENT', '2-HIGH')")
+    p = fx.panel(spark, sf)
     return models.panel_regimes(models.one_group(p.select("code", "month_end", "z")))
 
 
@@ -325,15 +342,16 @@ def rsm_fit_dispatch(spark, sf):
     return models.panel_regimes(models.one_group(p), multivariate=False)
 
 
-@Q()
+@Q(fx.recursive(fx.SMOOTHED) + f"SELECT d.code, month_end, {s6('s')} AS p_smoothed FROM bw JOIN dens d ON d.code = bw.code AND d.t = bw.t")
 def kim_smoother(spark, sf):
-    return hmm_em_univariate(spark, sf).select("code", "month_end", "regime_rank", "p_smoothed")
+    """Smoothed probabilities of each series' lowest regime."""
+    return fx.regime_paths(spark, sf).filter("regime_rank = 1").select("code", "month_end", r6("p_smoothed").alias("p_smoothed"))
 
 
-@Q()
+@Q(fx.recursive(fx.REGIMES) + f"SELECT d.code, month_end, r::INT AS regime_rank, {s6('CASE r WHEN 1 THEN f ELSE 1 - f END')} AS p FROM fw JOIN dens d ON d.code = fw.code AND d.t = fw.t, (VALUES (1), (2)) v(r)")
 def regime_probs(spark, sf):
-    """Filtered probabilities of the lowest regime, by position."""
-    return hmm_em_univariate(spark, sf).filter("regime_rank = 1").select("code", "month_end", "p_filtered")
+    """Filtered probabilities of both regimes."""
+    return fx.regime_paths(spark, sf).select("code", "month_end", "regime_rank", r6("p").alias("p"))
 
 
 @Q("SELECT * FROM (VALUES (1, 'recession'), (2, 'expansion')) v(regime_rank, regime)")
@@ -398,8 +416,8 @@ def spf_main(spark, sf):
 
     lags = spark.createDataFrame([(45,), (90,), (120,)], "lag_days int")
     months = fx.labels(spark, sf)
-    grid = months.select("month_end").crossJoin(F.broadcast(lags))
-    known = fx.signals(spark, sf).filter("signal = 'probit' AND p IS NOT NULL").crossJoin(F.broadcast(lags))
+    grid = months.select("month_end").crossJoin(small(lags))
+    known = fx.signals(spark, sf).filter("signal = 'probit' AND p IS NOT NULL").crossJoin(small(lags))
     facts = known.select("lag_days", F.expr("date_add(month_end, lag_days)").alias("known"), "p")
     at = asof_backward(grid, facts, by=["lag_days"], t="month_end", ts="known", value="p").filter("p IS NOT NULL")
     return at.join(months, "month_end").groupBy("lag_days").agg(r6(metrics.brier()).alias("brier"), F.count("*").alias("n"))

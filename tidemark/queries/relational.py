@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, windows
+from tidemark.operators import fitted, joins, windows
+from tidemark.operators.sizes import small
 from tidemark.queries import fixtures as fx
 from tidemark.queries.fixtures import r6, s6, with_
 from tidemark.registry import Registry
@@ -101,7 +102,7 @@ def dedup_keep_last(spark, sf):
 def cross_grid(spark, sf):
     s = spark.createDataFrame([(x,) for x in fx.SIGNALS.values()], "signal string")
     h = spark.createDataFrame([(x,) for x in (0, 3, 6, 9, 12, 18)], "horizon int")
-    return s.crossJoin(F.broadcast(h))
+    return s.crossJoin(small(h))
 
 
 @Q(with_(fx.SPAN) + "SELECT peak, trough FROM spans WHERE peak <= DATE '1999-01-01' AND trough >= DATE '1998-03-01'")
@@ -217,20 +218,21 @@ def topn_recent(spark, sf):
     return fx.obs(spark, sf).withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("code", "obs_date", "tie")
 
 
-@Q(with_(fx.PANEL, fx.LABELS, fx.SIGNAL) + "SELECT month_end, arg_max(signal, {'p': p, 's': signal}) AS regime FROM signals WHERE p IS NOT NULL GROUP BY month_end")
+@Q(fx.recursive(fx.REGIMES) + "SELECT d.code, month_end, CASE WHEN f >= 0.5 THEN 1 ELSE 2 END::INT AS regime_rank FROM fw JOIN dens d ON d.code = fw.code AND d.t = fw.t WHERE (d.code, d.t) IN (SELECT code, max(t) FROM rx GROUP BY code)")
 def argmax_regime(spark, sf):
-    return fx.signals(spark, sf).filter("p IS NOT NULL").groupBy("month_end").agg(F.expr("max_by(signal, struct(p, signal))").alias("regime"))
+    """The most probable regime at every series' last month."""
+    return fitted.likeliest_regime(fx.regime_paths(spark, sf))
 
 
-@Q(with_(fx.MONTHLY) + "SELECT code, (row_number() OVER (ORDER BY avg(value), code))::INT AS regime_rank FROM monthly GROUP BY code")
+@Q(with_(fx.REGIMES.split(",\nfw AS")[0]) + f"SELECT code, regime, {s6('mean')} AS mean, regime_rank FROM ranked")
 def rank_regimes(spark, sf):
-    means = fx.monthly(spark, sf).groupBy("code").agg(F.avg("value").alias("m"))
-    return means.select("code", F.row_number().over(Window.orderBy("m", "code")).alias("regime_rank"))
+    """Two regimes of every series, ranked by their means."""
+    return fx.ranked_regimes(spark, sf).select("code", "regime", r6("mean").alias("mean"), "regime_rank")
 
 
-@Q(with_(fx.PANEL) + f"SELECT code, {s6('quantile_cont(abs(x), 0.9)', 4)} AS q90 FROM panel GROUP BY code")
+@Q(with_(fx.FACTORS) + f"SELECT factor, {s6('quantile_cont(abs(l), 0.9)')} AS q90 FROM loadings GROUP BY factor")
 def quantile90_loading(spark, sf):
-    return fx.panel(spark, sf).groupBy("code").agg(r6(F.percentile(F.abs("x"), F.lit(0.9)), 4).alias("q90"))
+    return fitted.loading_quantile(fx.components(spark, sf)[0]).select("factor", r6("q90").alias("q90"))
 
 
 @Q(with_(fx.MONTHLY, _TWO) + f"SELECT month_end, {s6('abs(a - b)', 2)} AS diff FROM a JOIN b USING (month_end) WHERE abs(a - b) > 1e-8 ORDER BY abs(a - b) DESC, month_end LIMIT 10")

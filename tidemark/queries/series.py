@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, joins, transforms
+from tidemark.operators.sizes import small
 from tidemark.queries import fixtures as fx
 from tidemark.queries.fixtures import r6, s6, with_
 from tidemark.registry import Registry
@@ -92,10 +93,15 @@ def scan_release_dates(spark, sf):
     return src.release_dates(spark.createDataFrame(list(enumerate(_CALENDAR)), "n int, line string"))
 
 
-@Q(with_(fx.MONTHLY, fx.LABELS) + "SELECT month_end, y FROM labels")
+_PUBLISHED = "pub AS (SELECT obs_date, max((value > 150000)::INT) AS v FROM obs WHERE code = '3-MEDIUM' AND obs_date >= DATE '1997-03-01' AND month(obs_date) % 2 = 1 GROUP BY ALL), pm AS (SELECT last_day(obs_date) AS month_end, arg_max(v, obs_date) AS v FROM pub GROUP BY ALL)"
+
+
+@Q(with_(fx.MONTHLY, fx.LABELS, _PUBLISHED) + "SELECT month_end, coalesce(last_value(v IGNORE NULLS) OVER (ORDER BY month_end ROWS UNBOUNDED PRECEDING), y)::INT AS y FROM labels LEFT JOIN pm USING (month_end)")
 def scan_usrec(spark, sf):
-    """The published indicator, falling back to the table of turning points."""
-    return fx.labels(spark, sf).select("month_end", "y")
+    """A published indicator with gaps, carried over them; before its first value the table of turning points."""
+    raw = fx.obs(spark, sf).filter("code = '3-MEDIUM' AND obs_date >= DATE '1997-03-01' AND month(obs_date) % 2 = 1")
+    published = raw.groupBy("obs_date").agg(F.max((F.col("value") > 150000).cast("int")).alias("value"))
+    return src.published_indicator(published, fx.monthly(spark, sf), fx.labels(spark, sf))
 
 
 @Q("SELECT code, transform, lag_days FROM (VALUES ('A', 'none', 1), ('B', 'diff', 30)) v(code, transform, lag_days)")
@@ -200,7 +206,7 @@ def standardize_full(spark, sf):
 
 @Q(with_(fx.PANEL) + f"SELECT code, month_end, transform, {s6('x')} AS x FROM panel")
 def apply_transform(spark, sf):
-    named = fx.monthly(spark, sf).join(F.broadcast(fx.catalogue(spark)), "code")
+    named = fx.monthly(spark, sf).join(small(fx.catalogue(spark)), "code")
     return transforms.apply_transform(named).select("code", "month_end", "transform", r6("x").alias("x"))
 
 
@@ -238,7 +244,7 @@ def ragged_edge_mask(spark, sf):
 
 @Q(with_(fx.MONTHLY, fx.CAT) + "SELECT code, month_end, month_end + lag_days AS published FROM monthly JOIN catalogue USING (code)")
 def publication_date(spark, sf):
-    m = fx.monthly(spark, sf).join(F.broadcast(fx.catalogue(spark)), "code")
+    m = fx.monthly(spark, sf).join(small(fx.catalogue(spark)), "code")
     return m.select("code", "month_end", transforms.publication_date(F.col("month_end"), F.col("lag_days")).alias("published"))
 
 

@@ -120,3 +120,16 @@ def download(urls: dict[str, str], folder: str, get: Callable[[str], bytes] | No
         (Path(folder) / name).write_bytes(data)
         came.append(name)
     return came
+
+
+def published_indicator(obs: DataFrame, months: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(month_end, y): a published 0/1 indicator, the last of each month, carried over months without one.
+
+    ``obs`` (code, obs_date, value) holds one series; months before its first
+    value, and all where it is empty, take ``fallback`` (month_end, y).
+    """
+    own = obs.filter("value IS NOT NULL").groupBy(F.last_day("obs_date").alias("month_end")).agg(F.max_by("value", "obs_date").alias("_v"))
+    # One series of months.
+    held = F.last("_v", ignorenulls=True).over(Window.orderBy("month_end").rowsBetween(Window.unboundedPreceding, 0))
+    grid = months.select("month_end").distinct().join(own, "month_end", "left").withColumn("_held", held)
+    return grid.join(fallback.select("month_end", "y"), "month_end", "left").select("month_end", F.coalesce(F.col("_held").cast("int"), "y").alias("y"))
