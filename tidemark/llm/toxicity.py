@@ -125,11 +125,11 @@ def fit_ordinal(
     """
     n, top, size = len(grade), int(max(grade.max(initial=0), 1)), 1 << BITS
     used = np.flatnonzero(np.bincount(feature, minlength=size) >= least_rows)
-    compact = np.full(size, -1)
+    compact = np.full(size, -1, np.int32)
     compact[used] = np.arange(len(used))
     feature = compact[feature]
     keep = feature >= 0
-    row, feature = row[keep], feature[keep].astype(np.int32)
+    row, feature = row[keep], feature[keep]
     each = np.arange(n)
     # The pairs by row, and the rows of each feature: both sums run over neighbours.
     filled, begins = np.unique(row, return_index=True)
