@@ -43,7 +43,8 @@ MAGIC = b"TIDETOK1"
 _CACHE_WORDS, _CACHE_BYTES = 600_000, 11
 _SLICE_BYTES = 2 << 20
 #: A letter, then other ASCII signs up to white space; ``'`` and ``<`` may join what is around them.
-_SIGNS = re.compile(rb"(?<=[a-z])([^a-z0-9\s\x80-\xff'<]+)(?=\s|$)")
+#: The letter is looked for behind the first sign, as patterns that begin with a set are searched faster.
+_SIGNS = re.compile(rb"[^a-z0-9\s\x80-\xff'<](?<=[a-z].)[^a-z0-9\s\x80-\xff'<]*+(?=\s|$)", re.DOTALL)
 #: Folded words of letters below U+0250, which NFC leaves alone.
 _LATIN = re.compile(rb"(?:[a-z]|[\xc3-\xc9][\x80-\xbf])+")
 #: Case is left alone beside what case folding could touch: combining marks after a letter, special tokens.
@@ -82,6 +83,24 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
 
+class _Words(dict):
+    """Ids of words as bytes; a word that is not there is looked up, and remembered unless it is long."""
+
+    def __init__(self, look_up):
+        super().__init__()
+        self.look_up = look_up
+        self.long: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(word) <= _CACHE_BYTES:
+            found = self[word] = self.look_up(word)
+            return found
+        found = self.long.get(word)
+        if found is None:
+            found = self.long[word] = self.look_up(word)
+        return found
+
+
 class _Encoder:
     """Texts as bytes to id arrays as bytes.
 
@@ -96,45 +115,36 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.bytes = _byte_characters()
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Words(self.look_up)
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def learn(self, words: list[bytes]) -> None:
-        rest = []
-        for w in words:
-            if _LATIN.fullmatch(w) and (low := w.decode().lower()).isalpha():
-                piece = low.encode().decode("latin-1").translate(self.bytes)
-                self.known[w] = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-            else:
-                rest.append(w)
-        ids = self.plain([w.decode("utf-8", "replace") for w in rest])
-        self.known.update(zip(rest, ids, strict=True))
+    def look_up(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():  # ASCII letters, which stand for themselves
+            return array("I", [t.id for t in self.tokenize(word.decode())]).tobytes()
+        if _LATIN.fullmatch(word) and (low := word.decode().lower()).isalpha():
+            piece = low.encode().decode("latin-1").translate(self.bytes)
+            return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+        return self.plain([word.decode("utf-8", "replace")])[0]
 
     @staticmethod
     def words(text: bytes) -> list[bytes]:
         if any(mark in text for mark in _DELICATE):
             return text.split()
-        return _SIGNS.sub(rb" \1", text.lower()).split()
+        return _SIGNS.sub(rb" \g<0>", text.lower()).split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self.plain([t.decode("utf-8", "replace") for t in texts])
-        split = [self.words(t) for t in texts]
         if len(self.known) > _CACHE_WORDS:
             self.known.clear()
-        missing = list(set().union(*split).difference(self.known))
-        self.learn(missing)
+        self.known.long.clear()
         find = self.known.__getitem__
-        out = [b"".join(map(find, words)) for words in split]
-        for w in missing:
-            if len(w) > _CACHE_BYTES:
-                del self.known[w]
-        return out
+        return [b"".join(map(find, self.words(t))) for t in texts]
 
 
 def _encoder(path: str, by_word: bool) -> _Encoder:
