@@ -220,7 +220,7 @@ _EDGES = "edges AS (SELECT f AS fold, (greatest(40, n // 6) * 5 + f * (n - great
 
 
 def _base_folds(spark, sf, expanding):
-    months = fx.monthly(spark, sf).select("month_end").distinct()
+    months = fx.months(spark, sf)
     rows = months.select((F.row_number().over(Window.orderBy("month_end")) - 1).cast("bigint").alias("rn"))
     return metrics.folds(rows, metrics.fold_edges(spark, rows.count(), 5, 40), expanding=expanding)
 
@@ -359,7 +359,7 @@ def spf_benchmark(spark, sf):
 
 @Q(with_(fx.MONTHLY) + f"SELECT count(*) AS n, min(month_end) AS first, max(month_end) AS last, median(gap)::DOUBLE AS spacing, median(gap) > 45 AS coarse FROM (SELECT month_end, month_end - lag(month_end) OVER (ORDER BY month_end) AS gap FROM (SELECT DISTINCT month_end FROM monthly))")
 def walk_forward_meta(spark, sf):
-    m = fx.monthly(spark, sf).select("month_end").distinct().withColumn("gap", F.datediff("month_end", F.lag("month_end").over(Window.orderBy("month_end"))))
+    m = fx.months(spark, sf).withColumn("gap", F.datediff("month_end", F.lag("month_end").over(Window.orderBy("month_end"))))
     return m.agg(F.count("*").alias("n"), F.min("month_end").alias("first"), F.max("month_end").alias("last"), F.median("gap").alias("spacing"), (F.median("gap") > 45).alias("coarse"))
 
 

@@ -74,11 +74,16 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return transforms.apply_all_transforms(monthly(spark, sf), catalogue(spark))
 
 
+def months(spark: SparkSession, sf: str) -> DataFrame:
+    """(month_end): the panel's months, from the series' first and last days alone."""
+    return align.month_spine(obs(spark, sf)).select("month_end").distinct()
+
+
 def labels(spark: SparkSession, sf: str) -> DataFrame:
     """(month_end, y) over the panel's months."""
     from tidemark.operators.joins import interval_label
 
-    return interval_label(monthly(spark, sf).select("month_end").distinct(), spans(spark))
+    return interval_label(months(spark, sf), spans(spark))
 
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:

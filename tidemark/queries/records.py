@@ -138,6 +138,9 @@ def _wide(spark, sf):
 def _saved(spark, sf):
     wide, codes = _wide(spark, sf)
     path = fresh_path(spark, "vintages")
+    # Three vintages are cut from the panel, so it is made once.
+    wide.write.parquet(f"{path}-panel")
+    wide = spark.read.parquet(f"{path}-panel")
     for vintage in ("2001-06-30", "2001-09-30", "2001-09-30"):
         sinks.save_vintage(wide.filter(F.col("month_end") <= F.lit(vintage).cast("date")), path, vintage)
     return path, codes

@@ -76,7 +76,7 @@ def interval_label(spark, sf):
 
 @Q(with_(fx.MONTHLY, fx.SPAN, "seen AS (SELECT peak, CASE WHEN trough_announced <= DATE '2001-08-31' THEN trough END AS trough FROM spans WHERE peak_announced <= DATE '2001-08-31')") + "SELECT month_end, max((peak IS NOT NULL)::INT)::INT AS y FROM (SELECT DISTINCT month_end FROM monthly WHERE month_end <= DATE '2001-08-31') LEFT JOIN seen ON month_end >= peak AND month_end <= coalesce(trough, DATE '2001-08-31') GROUP BY month_end HAVING month_end <= (SELECT last_day(max(coalesce(trough, DATE '2001-08-31'))) FROM seen)")
 def interval_label_asof(spark, sf):
-    months = fx.monthly(spark, sf).select("month_end").distinct()
+    months = fx.months(spark, sf)
     return joins.interval_label_asof(months, fx.spans(spark), F.lit("2001-08-31").cast("date"))
 
 
