@@ -246,14 +246,11 @@ def purged_walk_forward(spark, sf):
     return metrics.embargo(metrics.purge(_base_folds(spark, sf, True), 1), 2)
 
 
-_HORIZON = ", h AS (SELECT signal, horizon, p, lead(y, horizon) OVER (PARTITION BY signal, horizon ORDER BY month_end) AS y FROM scored, (VALUES (0), (3), (6)) v(horizon)), "
-
-
 def _horizon_sql(h: str) -> str:
     return SCORED + ", " + f"h AS (SELECT signal, {h} AS horizon, p, lead(y, {h}) OVER (PARTITION BY signal ORDER BY month_end) AS y FROM scored)"
 
 
-_CURVE = SCORED + ", " + "h AS (" + " UNION ALL ".join(f"SELECT signal, {h} AS horizon, p, lead(y, {h}) OVER (PARTITION BY signal ORDER BY month_end) AS y FROM scored" for h in (0, 3, 6)) + "), " + _AUC.format(t="h", by="signal, horizon") + f", curve AS (SELECT signal, horizon, {s6(_AUC_VALUE)} AS auc FROM ranked GROUP BY ALL)"
+_CURVE = SCORED + ", " + "h AS (" + " UNION ALL ".join(f"SELECT signal, {h} AS horizon, p, lead(y, {h}) OVER (PARTITION BY signal ORDER BY month_end) AS y FROM scored" for h in HORIZONS) + "), " + _AUC.format(t="h", by="signal, horizon") + f", curve AS (SELECT signal, horizon, {s6(_AUC_VALUE)} AS auc, count(*) AS n_obs, sum(y)::BIGINT AS n_positive FROM ranked GROUP BY ALL HAVING count(*) >= 20 AND sum(y) > 0 AND sum(y) < count(*))"
 
 
 def _ahead(spark, sf, horizons):
@@ -266,30 +263,33 @@ def _ahead(spark, sf, horizons):
 
 
 def _curve(spark, sf):
-    return metrics.roc_auc(_ahead(spark, sf, (0, 3, 6)), ["signal", "horizon"]).select("signal", "horizon", r6("auc").alias("auc"))
+    """(signal, horizon, auc, n_obs, n_positive) of points with at least 20 months and both labels."""
+    rows = _ahead(spark, sf, HORIZONS).filter("y IS NOT NULL AND p IS NOT NULL")
+    counts = rows.groupBy("signal", "horizon").agg(F.count("*").alias("n_obs"), F.sum("y").alias("n_positive"))
+    full = counts.filter("n_obs >= 20 AND n_positive > 0 AND n_positive < n_obs")
+    points = metrics.roc_auc(rows, ["signal", "horizon"]).join(full, ["signal", "horizon"])
+    return points.select("signal", "horizon", "auc", "n_obs", "n_positive")
 
 
-@Q(_CURVE + " SELECT signal, horizon, auc FROM curve")
+@Q(_CURVE + " SELECT signal, horizon, auc, n_obs, n_positive FROM curve")
 def horizon_curve(spark, sf):
-    return _curve(spark, sf)
+    return _curve(spark, sf).withColumn("auc", r6("auc"))
 
 
-@Q(_CURVE + " SELECT horizon, max(auc) FILTER (signal = 'cfnai') AS cfnai, max(auc) FILTER (signal = 'probit') AS probit FROM curve GROUP BY horizon")
+@Q(_CURVE + " SELECT horizon, max(auc) FILTER (signal = 'probit') AS probit, max(auc) FILTER (signal = 'cfnai') AS cfnai, max(auc) FILTER (signal = 'sahm') AS sahm, max(auc) FILTER (signal = 'rsm') AS rsm FROM curve GROUP BY horizon")
 def curve_pivot(spark, sf):
-    return _curve(spark, sf).groupBy("horizon").pivot("signal", ["cfnai", "probit"]).agg(F.first("auc"))
+    return _curve(spark, sf).withColumn("auc", r6("auc")).groupBy("horizon").pivot("signal", list(fx.SIGNALS.values())).agg(F.first("auc"))
 
 
 @Q()
 def horizon_intervals(spark, sf):
     """AUC at all six horizons with block-bootstrap intervals; at least 20 months and both labels."""
-    rows = _ahead(spark, sf, HORIZONS).filter("y IS NOT NULL").withColumn("point", F.concat_ws("|", "signal", "horizon"))
-    seen = rows.filter("p IS NOT NULL")
-    counts = seen.groupBy("signal", "horizon", "point").agg(F.count("*").alias("n_obs"), F.sum("y").alias("n_positive"))
+    point = F.concat_ws("|", "signal", "horizon")
+    rows = _ahead(spark, sf, HORIZONS).filter("y IS NOT NULL").withColumn("point", point)
     draws = models.bootstrap_metric(rows, "point", ["p"], observed=True)
     ci = metrics.percentile_ci(draws, ["point"], "value").select("point", "lo", "hi")
-    points = metrics.roc_auc(seen, ["signal", "horizon"]).select("signal", "horizon", "auc")
-    full = counts.filter("n_obs >= 20 AND n_positive > 0 AND n_positive < n_obs").join(points, ["signal", "horizon"])
-    return full.join(ci, "point", "left").select("signal", "horizon", "auc", "lo", "hi", "n_obs", "n_positive")
+    found = _curve(spark, sf).withColumn("point", point).join(ci, "point", "left")
+    return found.select("signal", "horizon", "auc", "lo", "hi", "n_obs", "n_positive")
 
 
 @Q()
