@@ -115,6 +115,26 @@ def test_probit_recovers_coefficients_and_handles_missing():
     assert regression.probit_fit(X[:10], y[:10]).status == "too_few_rows"
 
 
+@pytest.mark.parametrize(("lam", "balanced"), [(0.01, True), (1.0, True), (5.0, False)])
+def test_probit_ends_where_the_gradient_is_zero(lam, balanced):
+    """The penalised likelihood written out, and its slope by central differences."""
+    from math import erf
+
+    rng = np.random.default_rng(8)
+    X = rng.normal(0, 1, (200, 3))
+    y = (X @ [0.8, 0.0, -0.4] + rng.normal(0, 1, 200) > 0.9).astype(float)
+    m = regression.probit_fit(X, y, lam=lam, balanced=balanced)
+    w = np.where(y == 1, 200 / (2 * y.sum()), 200 / (2 * (200 - y.sum()))) if balanced else np.ones(200)
+
+    def loss(b):
+        p = np.array([0.5 * (1 + erf(v / 2**0.5)) for v in X @ b[:3] + b[3]])
+        return -(w * np.log(np.where(y == 1, p, 1 - p))).sum() + 0.5 * lam * (b**2).sum()
+
+    for i in range(4):
+        step = np.eye(4)[i] * 1e-5
+        assert abs(loss(m.beta + step) - loss(m.beta - step)) / 2e-5 < 1e-3
+
+
 def test_calibration_ridge_and_trees():
     rng = np.random.default_rng(6)
     p = rng.random(500)

@@ -154,12 +154,21 @@ def calibrate_platt(spark, sf):
     return models.calibrated(fx.scored(spark, sf), "signal", "y", "p", "platt")
 
 
-@Q()
+_GDP = """q AS (SELECT last_day(date_trunc('quarter', month_end)::DATE + INTERVAL 2 MONTH) AS quarter_end, avg(value) FILTER (code = '1-URGENT') / 1e5 AS x, avg(value) FILTER (code = '2-HIGH') / 1e5 AS y FROM monthly GROUP BY ALL),
+last_q AS (SELECT coalesce(arg_max(coalesce(x, 0), quarter_end), 0) AS x0, max(quarter_end) AS q0 FROM q WHERE x IS NOT NULL OR y IS NOT NULL),
+known AS (SELECT x, y FROM q, last_q WHERE quarter_end < q0 AND x IS NOT NULL AND y IS NOT NULL),
+fit AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS m, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM known),
+se AS (SELECT a + b * x0 AS point, sqrt((syy - b * sxy) / (n - 2)) * sqrt(1 + 1.0::DOUBLE / n + (x0 - m) ** 2 / sxx) AS s, n FROM fit, last_q),
+ci AS (SELECT CASE WHEN n < 20 THEN 2.5 ELSE point END AS point, 1.645::DOUBLE * greatest(CASE WHEN n < 20 THEN 1.5 ELSE s END, 0.5) AS half FROM se)"""
+
+
+@Q(with_(fx.MONTHLY, _GDP) + f"SELECT {s6('point')} AS point, {s6('point - half')} AS lo, {s6('point + half')} AS hi FROM ci")
 def ols_gdp(spark, sf):
+    """The last quarter of one series from another's, fitted on the quarters before."""
     q = align.quarter_mean(fx.monthly(spark, sf)).filter("code IN ('1-URGENT', '2-HIGH')")
     wide = q.groupBy("quarter_end").pivot("code", ["1-URGENT", "2-HIGH"]).agg(F.first("value"))
     g = wide.select("quarter_end", (F.col("`1-URGENT`") / 1e5).alias("f1"), (F.col("`2-HIGH`") / 1e5).alias("y"))
-    return models.gdp(g, ["f1"], "y")
+    return models.gdp(g, ["f1"], "y").select(*[r6(c).alias(c) for c in ("point", "lo", "hi")])
 
 
 def _cv(spark, sf, model):
