@@ -66,10 +66,16 @@ def kalman_filter(spark, sf):
     return out.groupBy("code").agg(r6(F.max_by("filtered", "month_end")).alias("filtered"))
 
 
-@Q()
+_RTS = """fw AS MATERIALIZED (SELECT k.*, s.month_end FROM k JOIN (SELECT code, month_end, row_number() OVER (PARTITION BY code ORDER BY month_end) AS t FROM monthly) s ON s.code = k.code AND s.t = k.t),
+b AS (SELECT code, t, x AS m FROM fw WHERE (code, t) IN (SELECT code, max(t) FROM fw GROUP BY code)
+  UNION ALL SELECT fw.code, fw.t, fw.x + fw.p / (fw.p + 1) * (m - fw.x) FROM b JOIN fw ON fw.code = b.code AND fw.t = b.t - 1)"""
+
+
+@Q("WITH RECURSIVE " + fx.MONTHLY + ", " + _K + ", " + _RTS + f" SELECT fw.code, month_end, {s6('x')} AS filtered, {s6('m')} AS smoothed, {s6('p')} AS variance FROM fw JOIN b ON fw.code = b.code AND fw.t = b.t")
 def rts_smoother(spark, sf):
     m = fx.monthly(spark, sf).withColumn("y", F.col("value") / 1e6)
-    return models.local_level(m, "y", 1.0, 4.0)
+    out = models.local_level(m, "y", 1.0, 4.0)
+    return out.select("code", "month_end", *[r6(c).alias(c) for c in ("filtered", "smoothed", "variance")])
 
 
 _H = """series AS (SELECT code, x, row_number() OVER (PARTITION BY code ORDER BY month_end) AS t FROM (SELECT code, month_end, z AS x FROM panel)),
@@ -320,9 +326,11 @@ def pca_init(spark, sf):
     return scores.select("factor", "month_end", r6(F.col("score") * F.col("sign")).alias("score"))
 
 
-@Q()
+@Q(with_(fx.MONTHLY) + "SELECT (SELECT max(month_end) FROM monthly) AS as_of, i::INT AS i, j::INT AS j, (i = j)::INT::DOUBLE AS value FROM (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)")
 def identify_state(spark, sf):
-    return models.state_identity(models.one_group(panel(spark, sf)))
+    """After identification the state's loadings have orthonormal columns: their cross-product is the identity."""
+    found = models.state_identity(models.one_group(panel(spark, sf)))
+    return found.select("as_of", "i", "j", r6("value").alias("value"))
 
 
 @Q()
