@@ -133,7 +133,10 @@ def fit_ordinal(
     each = np.arange(n)
     # The pairs by row, and the rows of each feature: both sums run over neighbours.
     filled, begins = np.unique(row, return_index=True)
-    by_feature = row[np.argsort(feature, kind="stable")].astype(np.int32)
+    by_feature = feature.astype(np.int64) << 32
+    by_feature |= row
+    by_feature.sort()
+    by_feature = by_feature.astype(np.uint32).view(np.int32)  # the low half is the row
     held = np.concatenate([[0], np.cumsum(np.bincount(feature, minlength=len(used)))[:-1]]) if len(used) else begins[:0]
 
     def totals(w: np.ndarray) -> np.ndarray:
